@@ -66,6 +66,8 @@ def compare_blocks(
     counted_left = join_small(left, plan, keys, "inner")
     counted_right = join_small(right, plan, keys, "inner")
 
+    counted_right = counted_right.select(*[F.col(c).alias(c) for c in counted_right.columns])
+
     def own(id_column: str, blocks: str):
         return F.pmod(F.xxhash64(F.col(id_column)), F.col(blocks)).cast("int")
 
