@@ -32,7 +32,7 @@ def query(name: str, check: str | None = None, views: tuple[str, ...] = ()) -> C
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ship_package(spark)
+    ship_package()
     return QUERIES[name](Given(spark, folder))
 
 

@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_ROWS = 10_000
 
 
-_shipped: set[str] = set()
+def ship_package() -> None:
+    """Lets Python workers run this package's functions without having it installed.
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application.
-
-    Only needed where it is not installed on the cluster or passed with ``--py-files``.
+    Not needed where it is installed on the cluster or passed with ``--py-files``.
     """
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent
-        name = Path(tempfile.mkdtemp(prefix="musterline-code-")) / package.name
-        context.addPyFile(shutil.make_archive(str(name), "zip", package.parent, package.name))
-        _shipped.add(context.applicationId)
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from musterline.cluster import join_small
+from musterline.cluster import small_table
 
 BLOCK_ROWS = 20_000
 TILE_ROWS = 512
@@ -63,8 +63,9 @@ def compare_blocks(
         block_counts(right, keys, "_rights", block_rows), keys, "left"
     )
     plan = plan.withColumn("_rights", F.coalesce("_rights", F.lit(1)))
-    counted_left = join_small(left, plan, keys, "inner")
-    counted_right = join_small(right, plan, keys, "inner")
+    copy = small_table(plan)
+    plan = plan if copy is None else F.broadcast(copy)
+    counted_left, counted_right = left.join(plan, keys), right.join(plan, keys)
 
     counted_right = counted_right.select(*[F.col(c).alias(c) for c in counted_right.columns])
 

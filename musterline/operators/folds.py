@@ -18,13 +18,18 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from musterline.cluster import cut_lineage, join_small
 
 MAX_ROWS_PER_PIECE = 1_000_000
 OUTPUT_ROWS = 10_000
+ARROW_TYPES = {
+    "string": pa.string(),
+    "bigint": pa.int64(),
+    "boolean": pa.bool_(),
+    "double": pa.float64(),
+}
 
 
 class Step(Protocol):
@@ -113,7 +118,7 @@ def _run(
     else:
         added = StructType.fromDDL(step.adds)
         schema = StructType([rows.schema[c] for c in kept] + added.fields)
-    arrow = to_arrow_schema(schema, timezone="UTC")
+    added_types = [(f.name, ARROW_TYPES[f.dataType.simpleString()]) for f in StructType.fromDDL(step.adds)]
     names = placed.columns
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +127,7 @@ def _run(
         kept_at = [seat[c] for c in kept]
         reads_at = [seat[c] for c in step.reads]
         state_at = seat["_state"]
-        current, state, ready = None, None, []
+        current, state, ready, arrow = None, None, [], None
 
         def finished(done):
             ready.extend(tuple(row[i] for i in kept_at) + tuple(extra) for row, extra in done)
@@ -142,6 +147,11 @@ def _run(
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
         for batch in batches:
+            if arrow is None and only_ends:
+                fields = [(c, batch.schema.field(c).type) for c in where] + [("_state", pa.string())]
+                arrow = pa.schema(fields)
+            elif arrow is None:
+                arrow = pa.schema([(c, batch.schema.field(c).type) for c in kept] + added_types)
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for row in zip(*columns):
                 place = tuple(row[i] for i in where_at)
@@ -157,6 +167,7 @@ def _run(
                 if len(ready) >= OUTPUT_ROWS:
                     yield flush()
         end_piece()
-        yield flush()
+        if arrow is not None:
+            yield flush()
 
     return placed.mapInArrow(pass_over, schema)
