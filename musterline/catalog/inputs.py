@@ -66,6 +66,19 @@ VIEWS: dict[str, list[tuple[str, dict[str, str]]]] = {
             },
         )
     ],
+    "class_slots": [
+        (
+            "(SELECT p_size % 5 AS room, p_size % 7 + 1 AS weekday, cast(p_partkey % 7 + 1 as int) AS period, "
+            "min(p_partkey) AS slot, max(p_type) AS kind FROM part GROUP BY 1, 2, 3) AS rooms",
+            {
+                "timetable_id": "slot",
+                "classroom_id": "room",
+                "day_of_week": "weekday",
+                "period_id": "period",
+                "is_active": "kind <> 'ECONOMY'",
+            },
+        )
+    ],
     "subjects": [
         (
             "(SELECT DISTINCT p_brand FROM part) AS brands",

@@ -55,10 +55,15 @@ def detections(given: Given) -> DataFrame:
 
 
 def with_faces(detections: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Detections with a vector: every person always shows the same one of the given vectors."""
-    face = F.pmod(F.col("user_id") * 7, F.lit(200))
-    vectors = embeddings.select(F.col("vec_id").alias("_vec"), "embedding")
-    return detections.withColumn("_vec", face).join(vectors, "_vec").drop("_vec")
+    """Detections with a vector: a person's own one of the given vectors, tinged with another."""
+    own, other = F.pmod(F.col("user_id") * 7, F.lit(200)), F.pmod(F.col("det_idx") * 3, F.lit(200))
+    mine = embeddings.select(F.col("vec_id").alias("_own"), F.col("embedding").alias("_mine"))
+    tinge = embeddings.select(F.col("vec_id").alias("_other"), F.col("embedding").alias("_tinge"))
+    weight = (F.col("det_idx") % 9) / 6
+    mixed = F.zip_with("_mine", "_tinge", lambda x, y: (x + y * F.col("_weight")).cast("float"))
+    joined = detections.withColumns({"_own": own, "_other": other, "_weight": weight})
+    joined = joined.join(mine, "_own").join(tinge, "_other")
+    return joined.withColumn("embedding", mixed).drop("_own", "_other", "_mine", "_tinge", "_weight")
 
 
 def cameras(given: Given) -> DataFrame:

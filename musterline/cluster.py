@@ -47,9 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table written to the shared folder and read back.
+
+    A lost executor then costs no recomputation of what came before, and later readers only fetch
+    the columns they use. The files stay until the folder is cleaned, as checkpoints do.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:

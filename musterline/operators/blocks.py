@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from musterline.cluster import small_table
 
 BLOCK_ROWS = 20_000
+SMALLEST_BLOCK = 1_000
 TILE_ROWS = 512
 
 
@@ -39,9 +40,13 @@ def tiles(rows: int) -> range:
 
 
 def block_counts(vectors: DataFrame, keys: list[str], name: str, block_rows: int) -> DataFrame:
-    """How many blocks each key needs. One row per key, with counts combined map-side."""
+    """How many blocks each key needs: enough to keep blocks in memory, and where there is less
+    data than that, enough to keep all cores busy. One row per key, counts combined map-side."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    rows = F.count(F.lit(1))
+    busy = F.least(F.lit(cores), F.ceil(rows / F.lit(SMALLEST_BLOCK)))
     return vectors.groupBy(*keys).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(name)
+        F.greatest(F.ceil(rows / F.lit(block_rows)), busy).cast("int").alias(name)
     )
 
 
@@ -60,7 +65,9 @@ def compare_blocks(
     right rows is still handed over, with an empty right side.
     """
     plan = block_counts(left, keys, "_lefts", block_rows).join(
-        block_counts(right, keys, "_rights", block_rows), keys, "left"
+        right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_rights")),
+        keys,
+        "left",
     )
     plan = plan.withColumn("_rights", F.coalesce("_rights", F.lit(1)))
     copy = small_table(plan)
