@@ -243,7 +243,7 @@ VIEWS: dict[str, list[tuple[str, dict[str, str]]]] = {
                 "student_id": "cast(label as string)",
                 "university_id": "concat('U', cast(label as string))",
                 "embedding": "embedding",
-                "model_version": "'m1'",
+                "model_version": "case when label >= 0 then 'm1' else 'm0' end",
             },
         )
     ],

@@ -15,23 +15,25 @@ SETTINGS = MatchingSettings(similarity_threshold=0.30, min_margin=0.02)
 LINK_AT = 0.40
 
 
-def probes(g, model="'m1'"):
+OWN = "model_version"
+PARITY = "concat('m', cast(cast(embedding_id as bigint) % 2 as string))"
+
+
+def probes(g, model=OWN):
     return g.view("gallery").select(
         F.col("embedding_id").alias("probe_id"), "embedding", F.expr(model).alias("model_version")
     )
 
 
-def gallery(g, model="'m1'"):
+def gallery(g, model=OWN):
     return g.view("gallery").withColumn("model_version", F.expr(model))
 
 
-PARITY = "concat('m', cast(cast(embedding_id as bigint) % 2 as string))"
-
+def _ranked(model: str = OWN, keep: str = "true") -> str:
+    def of(alias: str) -> str:
+        return model.replace("embedding_id", f"{alias}.embedding_id").replace("model_version", f"{alias}.model_version")
 
-def _ranked(model: str, keep: str = "true") -> str:
-    if model != "'m1'":
-        return _ranked_by(model.replace("embedding_id", "p.embedding_id"), model.replace("embedding_id", "e.embedding_id"), keep)
-    return _ranked_by("1", "1", keep)
+    return _ranked_by(of("p"), of("e"), keep)
 
 
 def _ranked_by(left: str, right: str, keep: str) -> str:
@@ -61,7 +63,7 @@ def _outcome(decided):
     return rounded(decided.select(*columns), "best_similarity", "margin")
 
 
-@query("J01_W01_nearest_embeddings", _ranked("'m1'").replace("SELECT * FROM", "SELECT probe_id, embedding_id, student_id, round(similarity, 6) AS similarity, candidate_rank FROM", 1), ("gallery",))
+@query("J01_W01_nearest_embeddings", _ranked().replace("SELECT * FROM", "SELECT probe_id, embedding_id, student_id, round(similarity, 6) AS similarity, candidate_rank FROM", 1), ("gallery",))
 def nearest_embeddings(g):
     found = matching.search(probes(g), gallery(g), 10, exclude_same_id=True)
     columns = ["probe_id", "embedding_id", "student_id", "similarity", "candidate_rank"]
@@ -70,12 +72,12 @@ def nearest_embeddings(g):
     )
 
 
-@query("W02_F09_identify_best", _decided(_ranked("'m1'")), ("gallery",))
+@query("W02_F09_identify_best", _decided(_ranked()), ("gallery",))
 def identify_best(g):
     return _outcome(matching.match(probes(g), gallery(g), SETTINGS, exclude_same_id=True))
 
 
-@query("A01_mean_aggregation", _decided(_ranked("'m1'"), "avg"), ("gallery",))
+@query("A01_mean_aggregation", _decided(_ranked(), "avg"), ("gallery",))
 def identify_by_mean(g):
     settings = MatchingSettings(similarity_threshold=0.30, min_margin=0.02, aggregation="mean")
     return _outcome(matching.match(probes(g), gallery(g), settings, exclude_same_id=True))
@@ -91,7 +93,7 @@ def _people(g):
     return gallery(g).select("student_id", "university_id").distinct().withColumn("enrollment_status", status)
 
 
-@query("P08_active_students_only", _decided(_ranked("'m1'", "e.student_id NOT IN ('3', '7')")), ("gallery",))
+@query("P08_active_students_only", _decided(_ranked(OWN, "e.student_id NOT IN ('3', '7')")), ("gallery",))
 def active_students_only(g):
     return _outcome(matching.match(probes(g), gallery(g), SETTINGS, _people(g), exclude_same_id=True))
 
@@ -107,7 +109,7 @@ def hashed_search_recall(g):
 
 def fragments(g):
     return g.table("embeddings").select(
-        F.col("vec_id").alias("fragment_id"), "embedding", F.lit("m1").alias("model_version"), "label"
+        F.col("vec_id").alias("fragment_id"), "embedding", F.when(F.col("label") >= 0, "m1").otherwise("m0").alias("model_version")
     )
 
 

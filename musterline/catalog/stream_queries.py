@@ -105,11 +105,12 @@ _PROFILE = """, clips AS (SELECT camera_id, max(sequence) + 1 AS frames, (max(se
 @query(
     "A17_F20_W08_clip_profile",
     _PROFILE
-    + """SELECT p.camera_id, frames_sampled, frames_with_faces, faces_total, faces_passed, faces_total - faces_passed AS faces_gated,
+    + """SELECT c.camera_id, coalesce(frames_sampled, 0) AS frames_sampled, coalesce(frames_with_faces, 0) AS frames_with_faces,
+           coalesce(faces_total, 0) AS faces_total, coalesce(faces_passed, 0) AS faces_passed, coalesce(faces_total - faces_passed, 0) AS faces_gated,
            first_sample_at, last_sample_at, round((last_sample_at - first_sample_at) / c.duration, 6) AS coverage,
            coalesce(s.sequence + 1, c.n) AS frames_decoded, round(h, 3) AS face_height_px_p50, round(h_max, 3) AS face_height_px_max,
            round(blur, 3) AS blur_variance_p50, round(yaw, 3) AS yaw_ratio_p50, round(score_min, 3) AS detector_score_min
-         FROM profiled p JOIN clips c ON p.camera_id = c.camera_id LEFT JOIN strided s ON s.camera_id = p.camera_id AND s.place = 21""",
+         FROM clips c LEFT JOIN profiled p ON p.camera_id = c.camera_id LEFT JOIN strided s ON s.camera_id = c.camera_id AND s.place = 21""",
     ("frames", "detections"),
 )
 def clip_profile(g):
@@ -124,14 +125,16 @@ def clip_profile(g):
 @query(
     "A19_clip_advice",
     _PROFILE
-    + """, rules AS (SELECT p.camera_id, unnest([
-           CASE WHEN faces_passed = 0 THEN 'all_gated' END, CASE WHEN h < 100 THEN 'faces_too_small' END,
-           CASE WHEN h >= 100 AND h < 130 THEN 'faces_barely_large_enough' END, CASE WHEN blur < 45 THEN 'blurred' END,
-           CASE WHEN yaw > 0.45 THEN 'in_profile' END,
-           CASE WHEN last_sample_at - first_sample_at < c.duration * 0.9 THEN 'partly_examined' END,
-           CASE WHEN frames_with_faces < frames_sampled * 0.5 THEN 'faces_rare' END]) AS rule
-         FROM profiled p JOIN clips c ON p.camera_id = c.camera_id)
-         SELECT camera_id, rule FROM rules WHERE rule IS NOT NULL""",
+    + """, rules AS (SELECT c.camera_id, faces_total IS NOT NULL AND faces_total > 0 AS seen_faces, unnest([
+           CASE WHEN frames_sampled IS NULL THEN 'no_frames' WHEN faces_total = 0 THEN 'no_faces' END,
+           CASE WHEN seen_faces AND faces_passed = 0 THEN 'all_gated' END, CASE WHEN seen_faces AND h < 100 THEN 'faces_too_small' END,
+           CASE WHEN seen_faces AND h >= 100 AND h < 130 THEN 'faces_barely_large_enough' END,
+           CASE WHEN seen_faces AND blur < 45 THEN 'blurred' END, CASE WHEN seen_faces AND yaw > 0.45 THEN 'in_profile' END,
+           CASE WHEN seen_faces AND last_sample_at - first_sample_at < c.duration * 0.9 THEN 'partly_examined' END,
+           CASE WHEN seen_faces AND frames_with_faces < frames_sampled * 0.5 THEN 'faces_rare' END]) AS rule
+         FROM clips c LEFT JOIN profiled p ON p.camera_id = c.camera_id)
+         SELECT camera_id, rule FROM rules WHERE rule IS NOT NULL
+         UNION ALL SELECT camera_id, 'usable' FROM rules GROUP BY camera_id HAVING count(rule) = 0""",
     ("frames", "detections"),
 )
 def clip_advice(g):
@@ -235,10 +238,10 @@ def events_with_upgrades(g):
 
 
 def _stream(g, table: str):
-    """A given table as a file stream."""
+    """A given table as a file stream; the files of a micro-batch bound what one key can hold."""
     schema = g.spark.read.parquet(f"{g.folder}/{table}.parquet").schema
     reader = g.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    return reader.parquet(g.folder)
+    return reader.option("maxFilesPerTrigger", 64).parquet(g.folder)
 
 
 def _sighting_stream(g):
@@ -279,7 +282,7 @@ def latest_per_tick_stream(g):
         F.lit(640).alias("width"),
     )
     ticks = stateful.stream_latest_per_tick(frames, HOUR_FPS)
-    written = jobs.replayed(g.spark, ticks, "ticks", mode="complete")
+    written = jobs.replayed(g.spark, ticks, "ticks", "update", ["camera_id", "tick_start"])
     return written.select("camera_id", "tick_start", "sequence", "dropped")
 
 

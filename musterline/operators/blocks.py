@@ -58,18 +58,21 @@ def compare_blocks(
     compute: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
     block_rows: int = BLOCK_ROWS,
+    mirrored: bool = False,
 ) -> DataFrame:
     """Runs ``compute`` on every pair of a left and a right block that share ``keys``.
 
     Each left row meets each right row of its key exactly once. A left block of a key without
-    right rows is still handed over, with an empty right side.
+    right rows is still handed over, with an empty right side. When both sides are the same rows
+    and order does not matter, ``mirrored`` visits each pair of blocks once instead of twice.
     """
     plan = block_counts(left, keys, "_lefts", block_rows).join(
         right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_rights")),
         keys,
         "left",
     )
-    plan = plan.withColumn("_rights", F.coalesce("_rights", F.lit(1)))
+    rights = F.col("_lefts") if mirrored else F.coalesce("_rights", F.lit(1))
+    plan = plan.withColumn("_rights", rights)
     copy = small_table(plan)
     plan = plan if copy is None else F.broadcast(copy)
     counted_left, counted_right = left.join(plan, keys), right.join(plan, keys)
@@ -79,12 +82,12 @@ def compare_blocks(
     def own(id_column: str, blocks: str):
         return F.pmod(F.xxhash64(F.col(id_column)), F.col(blocks)).cast("int")
 
-    def all_of(blocks: str):
-        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-
+    first, last = (F.col("_lb"), F.col("_rb")) if mirrored else (F.lit(0), F.col("_lefts") - 1)
+    to_meet = F.explode(F.sequence(first, F.col("_rights") - 1))
+    met_by = F.explode(F.sequence(F.lit(0), last))
     piece = keys + ["_lb", "_rb"]
-    lefts = counted_left.withColumn("_lb", own(ids[0], "_lefts")).withColumn("_rb", all_of("_rights"))
-    rights = counted_right.withColumn("_rb", own(ids[1], "_rights")).withColumn("_lb", all_of("_lefts"))
+    lefts = counted_left.withColumn("_lb", own(ids[0], "_lefts")).withColumn("_rb", to_meet)
+    rights = counted_right.withColumn("_rb", own(ids[1], "_rights")).withColumn("_lb", met_by)
     return (
         lefts.drop("_lefts", "_rights")
         .groupBy(*piece)

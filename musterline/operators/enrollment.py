@@ -22,17 +22,19 @@ class Enrolled(NamedTuple):
 def validate_photos(
     photos: DataFrame, quality: QualitySettings = QualitySettings(), enforce_quality: bool = True
 ) -> DataFrame:
-    """Adds ``reject_reason``, null for usable photos. The first failing rule wins: a photo with
-    several faces is refused rather than guessed at."""
+    """Adds ``usable``, and ``reject_reason`` for photos that are not. The first failing rule wins:
+    a photo with several faces is refused rather than guessed at."""
     faces = F.coalesce("face_count", F.lit(0))
+    readable = F.coalesce("readable", F.lit(False))
     gate = F.col("quality.passed") if enforce_quality else F.lit(True)
     reason = (
-        F.when(~F.coalesce("readable", F.lit(False)), F.lit("unreadable image"))
+        F.when(~readable, F.lit("unreadable image"))
         .when(faces == 0, F.lit("no face detected"))
         .when(faces > 1, F.concat(faces.cast("string"), F.lit(" faces detected, expected exactly one")))
         .when(~gate, F.concat_ws("; ", "quality.reasons"))
     )
-    return assess_quality(photos, quality).withColumn("reject_reason", reason)
+    assessed = assess_quality(photos, quality).withColumn("usable", readable & (faces == 1) & gate)
+    return assessed.withColumn("reject_reason", reason)
 
 
 def enroll(
@@ -47,13 +49,13 @@ def enroll(
     """
     judged = validate_photos(photos, quality, settings.enforce_quality)
     in_order = Window.partitionBy("university_id").orderBy("path")
-    usable = judged.filter(F.col("reject_reason").isNull())
+    usable = judged.filter("usable")
     ranked = usable.withColumn("_place", F.row_number().over(in_order))
     kept = ranked.filter(F.col("_place") <= settings.max_per_student)
     last = kept.filter(F.col("_place") == settings.max_per_student)
     last = last.select("university_id", F.col("path").alias("_last_path"))
 
-    refused = judged.filter(F.col("reject_reason").isNotNull()).join(last, "university_id", "left")
+    refused = judged.filter("not usable").join(last, "university_id", "left")
     looked_at = F.col("_last_path").isNull() | (F.col("path") < F.col("_last_path"))
     skipped = refused.filter(looked_at).select("university_id", "path", "reject_reason")
     gallery = kept.select(
@@ -72,6 +74,7 @@ def enrolled_students(gallery: DataFrame) -> DataFrame:
 
 def not_enrolled(judged: DataFrame) -> DataFrame:
     """Students with photos of which none was usable."""
-    usable = count_where(F.col("reject_reason").isNull())
-    counted = judged.groupBy("university_id").agg(F.count(F.lit(1)).alias("photos"), usable.alias("_usable"))
+    counted = judged.groupBy("university_id").agg(
+        F.count(F.lit(1)).alias("photos"), count_where(F.col("usable")).alias("_usable")
+    )
     return counted.filter(F.col("_usable") == 0).drop("_usable")

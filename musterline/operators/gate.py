@@ -85,12 +85,12 @@ def assess_quality(detections: DataFrame, settings: QualitySettings = QualitySet
     """
     rules = _rules(settings)
     failed = reduce(lambda a, b: a | b, [F.coalesce(broken, F.lit(False)) for broken, _ in rules])
-    texts = F.array_compact(F.array(*[F.when(broken, text) for broken, text in rules]))
+    texts = F.array(*[F.when(broken, text).otherwise("") for broken, text in rules])
     none = F.array().cast("array<string>")
     measured = _measured(detections).withColumn("_passed", ~failed)
     quality = F.struct(
         F.col("_passed").alias("passed"),
-        F.when(F.col("_passed"), none).otherwise(texts).alias("reasons"),
+        F.when(F.col("_passed"), none).otherwise(F.array_remove(texts, "")).alias("reasons"),
         _metrics().alias("metrics"),
     )
     return measured.withColumn("quality", quality).drop("_height", "_yaw", "_roll", "_passed")

@@ -81,42 +81,40 @@ def fragment_links(
     )
 
 
-def _forest(threshold: float):
+def _stars(threshold: float):
     """Edges that connect one pair of blocks exactly as all its similar pairs would.
 
-    Breadth-first search over the similarity matrix; at most one edge per fragment.
+    Breadth-first search over the similarity matrix; every fragment found is tied to the smallest
+    of its component, so there is at most one edge per fragment.
     """
 
     def compute(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = np.array(left.column("fragment_id").to_pylist(), dtype=np.int64)
         others = np.array(right.column("other_id").to_pylist(), dtype=np.int64)
-        edges: list[tuple[int, int]] = []
+        hubs, tied = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(ids) and len(others):
             a, b = unit_matrix(left, "embedding"), unit_matrix(right, "embedding")
             near = np.empty((len(ids), len(others)), dtype=bool)
             for start in tiles(len(ids)):
                 scores = a[start : start + TILE_ROWS] @ b.T
                 near[start : start + TILE_ROWS] = np.round(scores, SIMILARITY_DECIMALS) >= threshold
-            sides = ((near, ids, others), (near.T, others, ids))
-            unseen = [np.ones(len(ids), dtype=bool), np.ones(len(others), dtype=bool)]
+            adjacency, names = (near, near.T), (ids, others)
+            unseen = (np.ones(len(ids), dtype=bool), np.ones(len(others), dtype=bool))
             for root in range(len(ids)):
                 if not unseen[0][root]:
                     continue
                 unseen[0][root] = False
-                waiting = [(0, root)]
+                waiting, component = [(0, root)], [ids[root : root + 1]]
                 while waiting:
                     side, node = waiting.pop()
-                    adjacency, here, there = sides[side]
-                    reached = np.flatnonzero(adjacency[node] & unseen[1 - side])
+                    reached = np.flatnonzero(adjacency[side][node] & unseen[1 - side])
                     unseen[1 - side][reached] = False
-                    edges.extend((int(here[node]), int(there[n])) for n in reached if here[node] != there[n])
+                    component.append(names[1 - side][reached])
                     waiting.extend((1 - side, n) for n in reached)
-        return pa.table(
-            {
-                "a": pa.array([e[0] for e in edges], pa.int64()),
-                "b": pa.array([e[1] for e in edges], pa.int64()),
-            }
-        )
+                members = np.unique(np.concatenate(component))
+                hubs.append(np.full(len(members) - 1, members[0]))
+                tied.append(members[1:])
+        return pa.table({"a": np.concatenate(hubs), "b": np.concatenate(tied)})
 
     return compute
 
@@ -126,8 +124,14 @@ def link_forest(fragments: DataFrame, threshold: float, block_rows: int = LINK_B
     left = fragments.select("fragment_id", "model_version", "embedding")
     right = left.withColumnRenamed("fragment_id", "other_id")
     return compare_blocks(
-        left, right, ["model_version"], ("fragment_id", "other_id"), _forest(threshold), "a bigint, b bigint",
+        left,
+        right,
+        ["model_version"],
+        ("fragment_id", "other_id"),
+        _stars(threshold),
+        "a bigint, b bigint",
         block_rows,
+        mirrored=True,
     )
 
 

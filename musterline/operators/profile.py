@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from musterline.functions.geometry import box_height
-from musterline.functions.scalars import count_where, offset_seconds, reason_key, span_text, spread_fps, stride, whole_text
+from musterline.cluster import join_small
+from musterline.functions.scalars import (
+    count_where,
+    offset_seconds,
+    reason_key,
+    span_text,
+    spread_fps,
+    stride,
+    whole_text,
+)
 from musterline.operators.gate import assess_quality
 from musterline.operators.ordering import numbered
 from musterline.operators.sampling import motion_gate
@@ -22,7 +30,7 @@ def exact_percentiles(samples: DataFrame, keys: list[str], value: str, points: d
     """
     placed = numbered(samples.select(*keys, value), keys, [F.col(value)], "_n")
     sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    joined = placed.join(sizes, keys)
+    joined = join_small(placed, sizes, keys, "inner")
     at = {name: F.lit(p) * (F.col("_rows") - 1) + 1 for name, p in points.items()}
     wanted = [F.col("_n").isin(F.floor(x), F.ceil(x)) for x in at.values()]
     near = joined.filter(_any(wanted))
@@ -147,8 +155,8 @@ def summarize(profiled: DataFrame) -> DataFrame:
 
 def gate_failures(assessed: DataFrame) -> DataFrame:
     """How often each gate rule fired per camera, most frequent first."""
-    fired = assessed.select("camera_id", F.explode("quality.reasons").alias("reason"))
-    counted = fired.groupBy("camera_id", reason_key(F.col("reason")).alias("rule")).agg(
+    fired = assessed.select("camera_id", F.explode_outer("quality.reasons").alias("reason"))
+    counted = fired.filter(F.col("reason").isNotNull()).groupBy("camera_id", reason_key(F.col("reason")).alias("rule")).agg(
         F.count(F.lit(1)).alias("failures")
     )
     return counted.orderBy("camera_id", F.desc("failures"), "rule")

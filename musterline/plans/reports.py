@@ -29,13 +29,13 @@ def subject_summary(records: DataFrame, timetable: DataFrame, legacy: bool = Fal
     ``excused`` only in the total. The legacy form counts Present alone."""
     slots = timetable.select("timetable_id", "subject_id", "academic_year_id", "semester_id")
     joined = records.select("student_id", "timetable_id", "status").join(slots, "timetable_id")
-    attended = _is("Present") if legacy else _is(*ATTENDED)
+    attended, absent = (_is("Present"), _is("Absent")) if legacy else (_is(*ATTENDED), _is("absent"))
     total, part = F.count(F.lit(1)), count_where(attended)
     columns = [
         total.alias("total_classes"),
         part.alias("attended_classes"),
-        count_where(F.lower("status") == "absent").alias("absent_classes"),
-        count_where(F.lower("status") == "late").alias("late_classes"),
+        count_where(absent).alias("absent_classes"),
+        count_where(_is("late")).alias("late_classes"),
         percentage(part, total).alias("percentage"),
     ]
     if legacy:
@@ -59,12 +59,12 @@ def daily_summary(
     multiplies rows nor meets a hot key.
     """
     day = records.filter(F.col("attendance_date") == F.lit(date).cast("date"))
-    attended = _is("Present") if legacy else _is(*ATTENDED)
+    attended, absent = (_is("Present"), _is("Absent")) if legacy else (_is(*ATTENDED), _is("absent"))
     counts = day.groupBy("student_id").agg(
         F.count("attendance_id").alias("_records"),
         count_where(attended).alias("_present"),
-        count_where(F.lower("status") == "absent").alias("_absent"),
-        count_where(F.lower("status") == "late").alias("_late"),
+        count_where(absent).alias("_absent"),
+        count_where(_is("late")).alias("_late"),
     )
     members = students if legacy else students.filter(F.col("enrollment_status") == "active")
     members = members.select("student_id", "section_id")

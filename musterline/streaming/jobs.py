@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from musterline.cluster import scratch_path
 from musterline.sources.events import log_batch
@@ -20,11 +22,19 @@ def run_available(stream: DataFrame, sink_path: str, checkpoint: str, mode: str
     query.awaitTermination()
 
 
-def replayed(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream has written after one run over its source."""
+def replayed(
+    spark: SparkSession, stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None
+) -> DataFrame:
+    """What a stream has written after one run over its source; with ``keys``, as for update mode,
+    only the latest version of each."""
     sink = scratch_path(spark, name)
     run_available(stream, sink, scratch_path(spark, f"{name}-progress"), mode)
-    return spark.read.schema(stream.schema).parquet(sink)
+    if keys is None:
+        return spark.read.schema(stream.schema).parquet(sink)
+    log = spark.read.schema(T.StructType(stream.schema.fields).add("batch_id", T.LongType())).parquet(sink)
+    rest = [c for c in stream.columns if c not in keys]
+    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_latest"))
+    return latest.select(*keys, "_latest.*")
 
 
 def claim_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
