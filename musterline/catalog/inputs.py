@@ -287,9 +287,17 @@ class Given:
         }
         return read.withColumns(zoned) if zoned else read
 
-    def view(self, name: str) -> DataFrame:
+    def spread_table(self, name: str) -> DataFrame:
+        """The table over all cores where its files have fewer splits than that, as the small
+        scales do; at size it is read as it lies."""
+        read, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        return read.repartition(cores) if read.rdd.getNumPartitions() < cores else read
+
+    def view(self, name: str, spread: bool = False) -> DataFrame:
+        """A view; ``spread`` is for work that is heavy per row."""
         text = text_of(name, "spark")
-        used = {t: self.table(t) for t in TABLES if t in text}
+        read = self.spread_table if spread else self.table
+        used = {t: read(t) for t in TABLES if t in text}
         for table in used:
             text = _stand_in(text, table)
         return self.spark.sql(text, **used)

@@ -38,7 +38,7 @@ def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
 
 def detections(given: Given) -> DataFrame:
     """The detections view with its box and landmarks nested."""
-    flat = given.view("detections")
+    flat = given.view("detections", spread=True)
 
     def point(x, y):
         return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))

@@ -107,6 +107,8 @@ _PROFILE = """, clips AS (SELECT camera_id, max(sequence) + 1 AS frames, (max(se
     _PROFILE
     + """SELECT c.camera_id, coalesce(frames_sampled, 0) AS frames_sampled, coalesce(frames_with_faces, 0) AS frames_with_faces,
            coalesce(faces_total, 0) AS faces_total, coalesce(faces_passed, 0) AS faces_passed, coalesce(faces_total - faces_passed, 0) AS faces_gated,
+           printf('%.2fs - %.2fs (%.0f%% of the clip)', first_sample_at, last_sample_at,
+             (last_sample_at - first_sample_at) / c.duration * 100) AS examined_span,
            first_sample_at, last_sample_at, round((last_sample_at - first_sample_at) / c.duration, 6) AS coverage,
            coalesce(s.sequence + 1, c.n) AS frames_decoded, round(h, 3) AS face_height_px_p50, round(h_max, 3) AS face_height_px_max,
            round(blur, 3) AS blur_variance_p50, round(yaw, 3) AS yaw_ratio_p50, round(score_min, 3) AS detector_score_min
@@ -118,7 +120,7 @@ def clip_profile(g):
     return rounded(summary, "coverage").select(
         "camera_id", "frames_sampled", "frames_with_faces", "faces_total", "faces_passed", "faces_gated",
         "first_sample_at", "last_sample_at", "coverage", "frames_decoded", "face_height_px_p50",
-        "face_height_px_max", "blur_variance_p50", "yaw_ratio_p50", "detector_score_min",
+        "face_height_px_max", "blur_variance_p50", "yaw_ratio_p50", "detector_score_min", "examined_span",
     )
 
 
@@ -303,7 +305,7 @@ def _judged(g):
     return judge_faces(faces, _gallery(g), cameras(g), _settings())
 
 
-@query("G03_G06_G07_decisions")
+@query("P09_G03_G06_G07_decisions")
 def decisions(g):
     decided = decide_faces(_judged(g), _settings())
     return decided.select("camera_id", "sequence", "det_idx", "track_id", "decision", "identity_changed")

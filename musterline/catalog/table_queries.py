@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from musterline.catalog.registry import cameras, detections, query, rounded
+from musterline.catalog.registry import cameras, detections, query, rounded, with_faces
 from musterline.cluster import scratch_path
 from musterline.functions import scalars
 from musterline.operators import attendance, enrollment, references, upserts
 from musterline.operators.profile import latency_summary
+from musterline.plans.enroll import load_enrollment
+from musterline.plans.extract import extract_people
+from musterline.schemas import FACE_EMBEDDINGS, STUDENTS
 from musterline.settings import QualitySettings
 from musterline.sources import events as sinks
 from musterline.sources import files
@@ -568,3 +571,33 @@ def event_latencies(g):
     consumed = events.select("event_id", later.alias("consumed_at"))
     summary = latency_summary(attendance.event_latencies(events, consumed))
     return rounded(summary, "mean_ms", "max_ms", "p50_ms", "p95_ms")
+
+
+@query("S15_extracted_people")
+def extracted_people(g):
+    """From detections to people and their reference times, clip by clip."""
+    faces = with_faces(detections(g), g.table("embeddings"))
+    frames = g.view("frames")
+    clips = frames.select("camera_id").distinct().withColumn("native_fps", F.lit(4.0))
+    extracted = extract_people(faces, frames, clips, QUALITY, 0.6)
+    return extracted.manifest.select("source", "person", "directory", "photos_kept")
+
+
+@query(
+    "S09_S11_loaded_enrollment",
+    _PHOTOS
+    + """, enrolled AS (SELECT university_id, count(*) AS vectors FROM running WHERE reason IS NULL AND accepted < 3 GROUP BY 1)
+      SELECT e.university_id, upper(c.c_name) AS full_name, true AS face_registered, vectors
+      FROM enrolled e JOIN customer c ON e.university_id = concat('u', cast(c.c_custkey AS STRING))""",
+    ("detections",),
+)
+def loaded_enrollment(g):
+    name = F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("university_id")
+    roster = g.table("customer").select(name, F.upper("c_name").alias("full_name"))
+    students = g.spark.createDataFrame([], STUDENTS)
+    gallery = g.spark.createDataFrame([], FACE_EMBEDDINGS).drop("created_at")
+    stored = load_enrollment(photos(g), roster, students, gallery, QUALITY)
+    vectors = stored.gallery.groupBy("student_id").agg(F.count(F.lit(1)).alias("vectors"))
+    return stored.students.join(vectors, "student_id").select(
+        "university_id", "full_name", "face_registered", "vectors"
+    )

@@ -57,6 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per row. Naming a number keeps adaptive execution from
+    merging such partitions because their bytes are few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame | None:
     """A driver-held copy of ``df`` when it has at most ``max_rows`` rows, else ``None``.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from musterline.cluster import small_table
+from musterline.cluster import small_table, task_count
 
 BLOCK_ROWS = 20_000
 SMALLEST_BLOCK = 1_000
@@ -88,9 +88,7 @@ def compare_blocks(
     piece = keys + ["_lb", "_rb"]
     lefts = counted_left.withColumn("_lb", own(ids[0], "_lefts")).withColumn("_rb", to_meet)
     rights = counted_right.withColumn("_rb", own(ids[1], "_rights")).withColumn("_lb", met_by)
-    return (
-        lefts.drop("_lefts", "_rights")
-        .groupBy(*piece)
-        .cogroup(rights.drop("_lefts", "_rights").groupBy(*piece))
-        .applyInArrow(compute, schema)
-    )
+    tasks = task_count(left.sparkSession)
+    lefts = lefts.drop("_lefts", "_rights").repartition(tasks, *piece)
+    rights = rights.drop("_lefts", "_rights").repartition(tasks, *piece)
+    return lefts.groupBy(*piece).cogroup(rights.groupBy(*piece)).applyInArrow(compute, schema)

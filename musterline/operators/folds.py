@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from musterline.cluster import cut_lineage, join_small
+from musterline.cluster import cut_lineage, join_small, task_count
 
 MAX_ROWS_PER_PIECE = 1_000_000
 OUTPUT_ROWS = 10_000
@@ -109,7 +109,7 @@ def _run(
     tagged = rows.withColumn("_state", F.lit(None).cast("string"))
     if entries is not None:
         tagged = tagged.unionByName(entries.select(*where, "_state"), allowMissingColumns=True)
-    placed = tagged.repartition(*where).sortWithinPartitions(
+    placed = tagged.repartition(task_count(rows.sparkSession), *where).sortWithinPartitions(
         *where, F.col("_state").isNull(), *order
     )
     if only_ends:

@@ -135,6 +135,12 @@ def link_forest(fragments: DataFrame, threshold: float, block_rows: int = LINK_B
     )
 
 
+def _fingerprint(edges: DataFrame):
+    """Count and hash sum of a set of edges; equal sets give equal fingerprints."""
+    total = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
+    return edges.agg(F.count(F.lit(1)), total).first()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component), the component being its smallest node, for all nodes with an edge.
 
@@ -144,7 +150,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
     stars = cut_lineage(edges.filter("a <> b").select(hi, lo).distinct())
-    seen = None
+    seen = _fingerprint(stars)
     while True:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
@@ -157,10 +163,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         tied = large.join(smallest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = tied.union(smallest.select("hi", F.col("m").alias("lo"))).distinct()
         stars = cut_lineage(small)
-        mark = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        now = _fingerprint(stars)
+        if now == seen:
             break
-        seen = mark
+        seen = now
     roots = stars.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
 

@@ -39,21 +39,29 @@ def previous_value(
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """Adds 1, 2, 3, ... per key in the given order, however large one key is.
+def running_total(
+    df: DataFrame, keys: list[str], order: list[Column], weight: Column, name: str
+) -> DataFrame:
+    """Adds the running sum of ``weight`` per key in the given order, however large one key is.
 
-    Rows are range-partitioned by key and order, so the parts are even in size; the number
-    inside a part is shifted by the key's rows in earlier parts.
+    Rows are range-partitioned by key and order, so the parts are even in size; the sum inside a
+    part is shifted by the key's sum over earlier parts.
     """
     by = [F.col(k) for k in keys] + order
-    parts = cut_lineage(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    parts = df.repartitionByRange(*by).withColumns({"_part": F.spark_partition_id(), "_weight": weight})
+    parts = cut_lineage(parts)
+    sizes = parts.groupBy(*keys, "_part").agg(F.sum("_weight").alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
-    local = parts.withColumn("_inside", inside)
+    so_far = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.withColumn("_inside", F.sum("_weight").over(so_far))
     return (
         local.join(shifts, keys + ["_part"])
         .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("bigint"))
-        .drop("_part", "_inside", "_shift")
+        .drop("_part", "_weight", "_inside", "_shift")
     )
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds 1, 2, 3, ... per key in the given order."""
+    return running_total(df, keys, order, F.lit(1), name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from musterline.functions.scalars import (
     whole_text,
 )
 from musterline.operators.gate import assess_quality
-from musterline.operators.ordering import numbered
+from musterline.operators.ordering import running_total
 from musterline.operators.sampling import motion_gate
 from musterline.settings import QualitySettings, SamplingSettings
 
@@ -24,35 +26,34 @@ METRICS = ["face_height_px", "detector_score", "blur_variance", "yaw_ratio"]
 
 
 def exact_percentiles(samples: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Percentiles with linear interpolation, however many samples a key has.
+    """Percentiles with linear interpolation, however many samples a key or a value has.
 
-    Rows are numbered by a distributed sort and only the two neighbours of each point are read.
+    Equal values are counted first; the counts are summed up along a distributed sort, and only
+    the two values around each point are read.
     """
-    placed = numbered(samples.select(*keys, value), keys, [F.col(value)], "_n")
+    counts = samples.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_total(counts, keys, [F.col(value)], F.col("_n"), "_to")
     sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     joined = join_small(placed, sizes, keys, "inner")
+
+    def holds(position: Column) -> Column:
+        return (F.col("_to") >= position) & (F.col("_to") - F.col("_n") < position)
+
     at = {name: F.lit(p) * (F.col("_rows") - 1) + 1 for name, p in points.items()}
-    wanted = [F.col("_n").isin(F.floor(x), F.ceil(x)) for x in at.values()]
-    near = joined.filter(_any(wanted))
-    sides = []
-    for name, x in at.items():
-        sides.append(F.max(F.when(F.col("_n") == F.floor(x), F.col(value))).alias(f"{name}_lo"))
-        sides.append(F.max(F.when(F.col("_n") == F.ceil(x), F.col(value))).alias(f"{name}_hi"))
-    found = near.groupBy(*keys, "_rows").agg(*sides)
+    below = {name: holds(F.floor(x)) for name, x in at.items()}
+    above = {name: holds(F.ceil(x)) for name, x in at.items()}
+    near = joined.filter(reduce(lambda a, b: a | b, [*below.values(), *above.values()]))
+    found = near.groupBy(*keys, "_rows").agg(
+        *[F.max(F.when(hit, F.col(value))).alias(f"{name}_below") for name, hit in below.items()],
+        *[F.max(F.when(hit, F.col(value))).alias(f"{name}_above") for name, hit in above.items()],
+    )
     between = [
-        (F.col(f"{n}_lo") + (x - F.floor(x)) * (F.col(f"{n}_hi") - F.col(f"{n}_lo"))).alias(n)
+        (F.col(f"{n}_below") + (x - F.floor(x)) * (F.col(f"{n}_above") - F.col(f"{n}_below"))).alias(n)
         for n, x in at.items()
     ]
     return found.select(*keys, *between)
 
 
-def _any(conditions: list[Column]) -> Column:
-    result = conditions[0]
-    for condition in conditions[1:]:
-        result = result | condition
-    return result
-
-
 def latency_summary(samples: DataFrame) -> DataFrame:
     """Count, mean, median, 95th percentile and maximum per stage."""
     plain = samples.groupBy("stage").agg(

@@ -15,6 +15,7 @@ from musterline.operators.debounce import DebounceStep
 from musterline.operators.folds import Step
 from musterline.operators.sampling import tick_length
 from musterline.operators.tracking import FrameStep
+from musterline.plans.identify import IdentifyStep
 from musterline.settings import TrackingSettings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -86,6 +87,16 @@ def stream_tracks(detections: DataFrame, settings: TrackingSettings = TrackingSe
     return stream_fold(boxes, ["camera_id"], ["sequence", "det_idx"], FrameStep(settings))
 
 
+def stream_decisions(judged: DataFrame, settings: TrackingSettings = TrackingSettings()) -> DataFrame:
+    """The per-camera decisions of a stream of judged faces.
+
+    ``judged`` has the flat columns that the batch fold reads: camera_id, sequence, det_idx, at
+    (microseconds), x1, y1, x2, y2, passed, outcome, student_id, similarity. Gate and match need
+    no history and run on the stream before this.
+    """
+    return stream_fold(judged, ["camera_id"], ["sequence", "det_idx"], IdentifyStep(settings))
+
+
 def stream_latest_per_tick(frames: DataFrame, fps: float, lateness: str = "10 seconds") -> DataFrame:
     """The newest frame per camera and tick. A tick is final once the watermark has passed it;
     frames that come later than ``lateness`` are dropped by the watermark."""

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from helpers import at
 from musterline.operators.debounce import debounce
 from musterline.operators.tracking import FrameStep, assign_tracks
-from musterline.settings import TrackingSettings
+from musterline.plans.identify import decide_faces, flat_faces
+from musterline.settings import PipelineSettings, TrackingSettings
 from musterline.streaming import jobs, stateful
-from test_folds import DETECTED, clip
+from test_folds import DETECTED, clip, judged_rows
 
 SIGHTINGS = "sighting_id bigint, camera_id string, student_id string, captured_at timestamp, confidence double"
 
@@ -58,6 +59,28 @@ def test_track_stream_equals_batch(spark, tmp_path):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_decision_stream_equals_batch(spark, tmp_path):
+    stateful.use_rocksdb(spark)
+    schema = (
+        DETECTED + ", quality struct<passed:boolean>, outcome string, best_student string, best_similarity double"
+    )
+    rows = [
+        (c, f, d, t, b, (p,), None if not p else "matched" if w else "unresolved", w if p else None, s if p else None)
+        for c, f, d, t, b, p, w, s in judged_rows(9)
+    ]
+    settings = TrackingSettings(reconfirm_interval_seconds=1.0, emit_debounce_seconds=12.0)
+    judged = spark.createDataFrame(rows, schema)
+    flat = flat_faces(judged)
+    path = str(tmp_path / "in")
+    for low, high in ((0, 70), (70, 71), (71, 200)):
+        flat.filter(F.col("sequence").between(low, high - 1)).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(flat.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.replayed(spark, stateful.stream_decisions(source, settings), "decisions-test")
+    columns = ["camera_id", "sequence", "det_idx", "decision", "identity_changed", "emitted_at", "emitted_by"]
+    batch = decide_faces(judged, PipelineSettings(tracking=settings))
+    assert set(map(tuple, out.select(columns).collect())) == set(map(tuple, batch.select(columns).collect()))
+
+
 def test_ticks_are_final_once_the_watermark_has_passed(spark, tmp_path):
     schema = "camera_id string, sequence bigint, captured_at timestamp, height int, width int"
     rows = [("cam", i, at(i / 10), 480, 640) for i in range(100)]

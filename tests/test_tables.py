@@ -11,7 +11,14 @@ from helpers import at
 from musterline.functions import scalars, vectors
 from musterline.operators import enrollment, integrity, upserts
 from musterline.plans import reports
-from musterline.schemas import IDENTIFICATION_EVENTS, REFERENCE_DETECTIONS, UNRESOLVED_DETECTIONS
+from musterline.plans.enroll import load_enrollment
+from musterline.schemas import (
+    FACE_EMBEDDINGS,
+    IDENTIFICATION_EVENTS,
+    REFERENCE_DETECTIONS,
+    STUDENTS,
+    UNRESOLVED_DETECTIONS,
+)
 from musterline.settings import EnrollmentSettings
 from musterline.sources import events as sinks
 from musterline.sources import files
@@ -92,6 +99,20 @@ def test_enrollment(spark):
     assert "b" in {r.university_id for r in lenient.collect()}
 
 
+def test_nothing_is_loaded_while_names_are_missing(spark):
+    photos = spark.createDataFrame([photo("a/1", "a"), photo("b/1", "b")], REFERENCE_DETECTIONS + ", university_id string")
+    students = spark.createDataFrame([("old-id", "a", "Old", None, "active", False)], STUDENTS)
+    gallery = spark.createDataFrame([], FACE_EMBEDDINGS).drop("created_at")
+    roster = spark.createDataFrame([("a", "Oviya")], "university_id string, full_name string")
+    with pytest.raises(ValueError, match="no full_name for: b"):
+        load_enrollment(photos, roster, students, gallery)
+    both = roster.union(spark.createDataFrame([("b", "Rithika")], roster.schema))
+    stored = load_enrollment(photos, both, students, gallery)
+    people = {r.university_id: r for r in stored.students.collect()}
+    assert people["a"].student_id == "old-id" and people["a"].full_name == "Oviya" and people["b"].face_registered
+    assert {r.student_id for r in stored.gallery.collect()} == {r.student_id for r in people.values()}
+
+
 def test_gallery_round_trip(spark, tmp_path):
     rows = [("e1", "s1", "u1", [0.6, 0.8], "m1")]
     schema = "embedding_id string, student_id string, university_id string, embedding array<float>, model_version string"
