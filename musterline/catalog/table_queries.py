@@ -310,7 +310,7 @@ def registered_students(g):
     "S10_camera_upsert",
     """SELECT camera_id, concat('New ', camera_id) AS location_label, classroom_id, enabled FROM cameras WHERE camera_id <> 'view'
        UNION ALL SELECT camera_id, location_label, classroom_id, enabled FROM cameras WHERE camera_id = 'view'
-       UNION ALL SELECT concat('nation-', n_name), concat('New ', n_name), NULL, NULL FROM nation""",
+       UNION ALL SELECT concat('nation-', n_name), concat('New ', n_name), NULL, true FROM nation""",
     ("cameras",),
 )
 def camera_upsert(g):

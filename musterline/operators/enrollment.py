@@ -45,18 +45,20 @@ def enroll(
     """The first usable photos of each student in path order, and what was refused before the
     cap was reached; photos behind the cap are not looked at.
 
-    ``photos`` are reference detections with a ``university_id``.
+    ``photos`` are reference detections with a ``university_id``; where they carry the ``place``
+    that the file listing gives, that is the order instead.
     """
     judged = validate_photos(photos, quality, settings.enforce_quality)
-    in_order = Window.partitionBy("university_id").orderBy("path")
+    order = "place" if "place" in photos.columns else "path"
+    in_order = Window.partitionBy("university_id").orderBy(order)
     usable = judged.filter("usable")
-    ranked = usable.withColumn("_place", F.row_number().over(in_order))
-    kept = ranked.filter(F.col("_place") <= settings.max_per_student)
-    last = kept.filter(F.col("_place") == settings.max_per_student)
-    last = last.select("university_id", F.col("path").alias("_last_path"))
+    ranked = usable.withColumn("_nth", F.row_number().over(in_order))
+    kept = ranked.filter(F.col("_nth") <= settings.max_per_student)
+    last = kept.filter(F.col("_nth") == settings.max_per_student)
+    last = last.select("university_id", F.col(order).alias("_last"))
 
     refused = judged.filter("not usable").join(last, "university_id", "left")
-    looked_at = F.col("_last_path").isNull() | (F.col("path") < F.col("_last_path"))
+    looked_at = F.col("_last").isNull() | (F.col(order) < F.col("_last"))
     skipped = refused.filter(looked_at).select("university_id", "path", "reject_reason")
     gallery = kept.select(
         name_uuid(STUDENT_NAMESPACE, F.concat_ws("|", "model_version", "path")).alias("embedding_id"),

@@ -91,4 +91,5 @@ def people_manifest(people: DataFrame, references: DataFrame) -> DataFrame:
 
 def write_people(manifest: DataFrame, root: str) -> None:
     """Replaces the people of an earlier run below ``root`` and nothing else there."""
-    manifest.select("source", "line").write.mode("overwrite").partitionBy("source").text(f"{root}/people")
+    lines = manifest.select("source", "line").write.mode("overwrite").partitionBy("source")
+    lines.option("partitionOverwriteMode", "static").text(f"{root}/people")

@@ -42,7 +42,9 @@ def insert_events(events: DataFrame, new: DataFrame, first: Column | None = None
 
 def replace_events(events: DataFrame, updates: DataFrame, sequence: str) -> DataFrame:
     """Each update rewrites the event with its id, the last by ``sequence`` winning; an update
-    without an event is appended."""
+    without an event is appended. An update without a match time gets the present one."""
+    if "matched_at" in updates.columns:
+        updates = updates.withColumn("matched_at", F.coalesce("matched_at", F.current_timestamp()))
     rest = [c for c in events.columns if c != "event_id"]
     latest = updates.groupBy("event_id").agg(F.max_by(F.struct(*rest), sequence).alias("_row"))
     latest = latest.select("event_id", "_row.*")
@@ -91,16 +93,22 @@ def mark_registered(students: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def upsert_cameras(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Label, source and region are overwritten; every other column keeps its value."""
-    return _upsert_columns(old, new, "camera_id", ["location_label", "source_ref", "roi"])
+    """Label, source and region are overwritten; every other column keeps its value. A new camera
+    is enabled."""
+    overwrite = ["location_label", "source_ref", "roi"]
+    return _upsert_columns(old, new, "camera_id", overwrite, {"enabled": True})
 
 
 def upsert_students(old: DataFrame, new: DataFrame) -> DataFrame:
-    """By university id: only the name changes, a known student id is kept."""
-    return _upsert_columns(old, new, "university_id", ["full_name"])
+    """By university id: only the name changes, a known student id is kept. A new student is active
+    and has no face registered."""
+    defaults = {"enrollment_status": "active", "face_registered": False}
+    return _upsert_columns(old, new, "university_id", ["full_name"], defaults)
 
 
-def _upsert_columns(old: DataFrame, new: DataFrame, key: str, overwrite: list[str]) -> DataFrame:
+def _upsert_columns(
+    old: DataFrame, new: DataFrame, key: str, overwrite: list[str], defaults: dict[str, object]
+) -> DataFrame:
     fresh = unique_rows(new, [key]).withColumn("_fresh", F.lit(True))
     known = old.withColumn("_known", F.lit(True))
     joined = known.alias("o").join(fresh.alias("n"), key, "full_outer")
@@ -109,7 +117,8 @@ def _upsert_columns(old: DataFrame, new: DataFrame, key: str, overwrite: list[st
         if c == key:
             return F.col(key)
         if c not in new.columns:
-            return F.col(f"o.{c}").alias(c)
+            absent = F.lit(defaults.get(c)).cast(old.schema[c].dataType)
+            return F.when(F.col("_known").isNull(), absent).otherwise(F.col(f"o.{c}")).alias(c)
         incoming, current = F.col(f"n.{c}"), F.col(f"o.{c}")
         take = F.col("_fresh").isNotNull() if c in overwrite else F.col("_known").isNull()
         return F.when(take, incoming).otherwise(current).alias(c)

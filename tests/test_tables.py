@@ -109,7 +109,8 @@ def test_nothing_is_loaded_while_names_are_missing(spark):
     both = roster.union(spark.createDataFrame([("b", "Rithika")], roster.schema))
     stored = load_enrollment(photos, both, students, gallery)
     people = {r.university_id: r for r in stored.students.collect()}
-    assert people["a"].student_id == "old-id" and people["a"].full_name == "Oviya" and people["b"].face_registered
+    assert people["a"].student_id == "old-id" and people["a"].full_name == "Oviya"
+    assert people["b"].face_registered and people["b"].enrollment_status == "active"
     assert {r.student_id for r in stored.gallery.collect()} == {r.student_id for r in people.values()}
 
 
@@ -165,6 +166,7 @@ def test_replace_appends_what_is_missing_and_raise_does_not(spark):
     assert replaced == {"e1": (0.67, 3), "e2": (0.6, 1), "e9": (0.5, 4)}
     raised = {r.event_id: (r.confidence, r.track_id) for r in upserts.raise_events(stored, updates).collect()}
     assert raised == {"e1": (0.67, 3), "e2": (0.6, 1)}
+    assert all(r.matched_at for r in upserts.replace_events(stored, updates, "track_id").collect() if r.event_id != "e2")
     equal = upserts.raise_events(stored, events(spark, event("e1", 0.6, 9))).collect()
     assert {r.track_id for r in equal} == {1}
 
