@@ -135,13 +135,20 @@ def head_pose(g):
     )
 
 
+def uuid_text(name: str) -> str:
+    """Checking SQL for the version 5 UUID of a text."""
+    digest = f"sha1(unhex('{scalars.STUDENT_NAMESPACE.replace('-', '')}') || encode({name}))"
+    nibble = f"strpos('0123456789abcdef', substr({digest}, 17, 1))"
+    variant = f"substr('89ab89ab89ab89ab', {nibble}, 1)"
+    return (
+        f"concat(substr({digest}, 1, 8), '-', substr({digest}, 9, 4), '-5', substr({digest}, 14, 3), '-', "
+        f"{variant}, substr({digest}, 18, 3), '-', substr({digest}, 21, 12))"
+    )
+
+
 @query(
     "F12_student_ids",
-    """, digests AS (
-         SELECT university_id, sha1(unhex('6f2a1d5e9c3b4f7a8e210b5c7d9a4e13') || encode(university_id)) AS d FROM students)
-       SELECT university_id, concat(substr(d, 1, 8), '-', substr(d, 9, 4), '-5', substr(d, 14, 3), '-',
-         substr('89ab', strpos('0123456789abcdef', substr(d, 17, 1)) - 1 - ((strpos('0123456789abcdef', substr(d, 17, 1)) - 1) // 4) * 4 + 1, 1),
-         substr(d, 18, 3), '-', substr(d, 21, 12)) AS student_id FROM digests""",
+    f"SELECT university_id, {uuid_text('university_id')} AS student_id FROM students",
     ("students",),
 )
 def student_ids(g):

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from musterline.catalog.registry import cameras, detections, query, rounded, with_faces
+from musterline.catalog.scalar_queries import uuid_text
+from musterline.catalog.walks import ALL_SHOTS, DECISIONS, INSIDE, LIVE_SHOTS, TRACKS
 from musterline.operators import profile as profiles
 from musterline.operators import sampling, tracking
 from musterline.operators.debounce import current_events, debounce
+from musterline.operators.gate import roi_filter
 from musterline.operators.ordering import previous_value
 from musterline.plans.identify import decide_faces, identify, judge_faces
 from musterline.settings import MatchingSettings, PipelineSettings, QualitySettings, SamplingSettings, TrackingSettings
+from musterline.sources.events import unresolved_lines
 from musterline.streaming import jobs, stateful
 
 HOUR_FPS = 1 / 3600
@@ -157,14 +161,23 @@ def consecutive_overlaps(g):
     return rounded(tracking.consecutive_overlaps(detections(g)), "overlap")
 
 
-@query("G01_track_assignment")
+_TRACKED = TRACKS + "SELECT camera_id, sequence, det_idx, track_id FROM tracked"
+
+
+@query("G01_track_assignment", INSIDE + LIVE_SHOTS + _TRACKED, ("detections", "cameras"))
 def track_assignment(g):
-    return tracking.assign_tracks(detections(g)).select("camera_id", "sequence", "det_idx", "track_id")
+    inside = roi_filter(detections(g), cameras(g))
+    return tracking.assign_tracks(inside).select("camera_id", "sequence", "det_idx", "track_id")
 
 
-@query("G02_track_assignment_every_frame_ages")
+@query(
+    "G02_track_assignment_every_frame_ages",
+    INSIDE + ALL_SHOTS + _TRACKED,
+    ("detections", "cameras", "frames"),
+)
 def track_assignment_every_frame(g):
-    tracked = tracking.assign_tracks(detections(g), frames=g.view("frames"))
+    inside = roi_filter(detections(g), cameras(g))
+    tracked = tracking.assign_tracks(inside, frames=g.view("frames"))
     return tracked.select("camera_id", "sequence", "det_idx", "track_id")
 
 
@@ -305,28 +318,92 @@ def _judged(g):
     return judge_faces(faces, _gallery(g), cameras(g), _settings())
 
 
-@query("P09_G03_G06_G07_decisions")
+_FACE_VIEWS = ("detections", "cameras", "gallery")
+
+
+@query(
+    "P09_G03_G06_G07_decisions",
+    DECISIONS + "SELECT camera_id, sequence, det_idx, track_id, decision, identity_changed FROM decided",
+    _FACE_VIEWS,
+)
 def decisions(g):
     decided = decide_faces(_judged(g), _settings())
     return decided.select("camera_id", "sequence", "det_idx", "track_id", "decision", "identity_changed")
 
 
-@query("G07_A16_counters")
-def pipeline_counters(g):
+def _identified(g, **options):
     faces = with_faces(detections(g), g.table("embeddings"))
-    return identify(faces, _gallery(g), cameras(g), _settings(), frames=g.view("frames")).counters
+    return identify(faces, _gallery(g), cameras(g), _settings(), **options)
+
+
+def _counted(decision: str, name: str) -> str:
+    return f"count(d.det_idx) FILTER (WHERE {decision}) AS {name}"
 
 
-@query("G07_identification_events")
+@query(
+    "G07_A16_counters",
+    DECISIONS
+    + ", sampled AS (SELECT camera_id, count(*) AS frames_sampled FROM frames GROUP BY 1) "
+    + "SELECT s.camera_id, frames_sampled, count(d.det_idx) AS faces_detected, "
+    + ", ".join(
+        _counted(*pair)
+        for pair in (
+            ("decision = 'gated'", "faces_gated"),
+            ("decision NOT IN ('skipped', 'gated')", "faces_embedded"),
+            ("decision = 'skipped'", "recognitions_skipped"),
+            ("decision = 'emit'", "events_published"),
+            ("decision = 'suppress'", "events_debounced"),
+            ("decision = 'replace'", "events_updated"),
+            ("decision = 'gated'", "unresolved_quality"),
+            ("decision = 'unmatched'", "unresolved_match"),
+        )
+    )
+    + " FROM sampled s LEFT JOIN decided d ON s.camera_id = d.camera_id GROUP BY 1, 2",
+    (*_FACE_VIEWS, "frames"),
+)
+def camera_counters(g):
+    return _identified(g, frames=g.view("frames")).counters
+
+
+_EVENT_ID = uuid_text("concat_ws('|', camera_id, student, cast(event.us AS STRING), cast(event.d AS STRING))")
+
+
+@query(
+    "G07_G08_identification_events",
+    DECISIONS
+    + f"""SELECT {_EVENT_ID} AS event_id, student AS student_id, concat('U', student) AS university_id, camera_id,
+            round(score, 6) AS confidence, captured_at AS frame_captured_at, model_version, track_id, decision AS action
+          FROM decided WHERE decision IN ('emit', 'replace')""",
+    _FACE_VIEWS,
+)
 def identified_events(g):
-    faces = with_faces(detections(g), g.table("embeddings"))
-    events = identify(faces, _gallery(g), cameras(g), _settings()).events
-    return rounded(events.drop("matched_at"), "confidence")
+    return rounded(_identified(g).events.drop("matched_at"), "confidence")
 
 
-@query("P11_S08_unresolved_detections")
+@query(
+    "P11_S08_unresolved_detections",
+    DECISIONS
+    + """SELECT camera_id, strftime(captured_at, '%Y-%m-%dT%H:%M:%SZ') AS frame_captured_at, track_id,
+           CASE decision WHEN 'gated' THEN 'quality' ELSE 'match' END AS stage,
+           CASE WHEN decision = 'gated' THEN rules WHEN student IS NULL THEN 'no' WHEN score < 0.30 THEN 'similarity' ELSE 'margin' END AS rules,
+           CASE WHEN decision <> 'gated' THEN round(score, 4) END AS best_similarity, false AS has_embedding
+         FROM decided WHERE decision IN ('gated', 'unmatched')""",
+    _FACE_VIEWS,
+)
 def unresolved_detections(g):
-    from musterline.sources.events import unresolved_lines
-
-    faces = with_faces(detections(g), g.table("embeddings"))
-    return unresolved_lines(identify(faces, _gallery(g), cameras(g), _settings()).unresolved)
+    """As written: JSON lines with rounded numbers and without vectors."""
+    text = F.col("value")
+    said = {
+        name: F.get_json_object(text, f"$.{name}")
+        for name in ("camera_id", "frame_captured_at", "track_id", "stage", "reason", "best_similarity")
+    }
+    keys = F.transform(F.split(said["reason"], "; "), lambda r: F.split(r, " ")[0])
+    return unresolved_lines(_identified(g).unresolved).select(
+        said["camera_id"].alias("camera_id"),
+        said["frame_captured_at"].alias("frame_captured_at"),
+        said["track_id"].cast("bigint").alias("track_id"),
+        said["stage"].alias("stage"),
+        F.concat_ws(",", keys).alias("rules"),
+        said["best_similarity"].cast("double").alias("best_similarity"),
+        text.contains('"embedding"').alias("has_embedding"),
+    )
