@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from musterline.catalog.registry import query
-from musterline.operators import attendance, integrity, upserts
+from musterline.operators import integrity, marks, upserts
 from musterline.plans import reports
 
 DAY = "1998-01-15"
@@ -326,7 +326,7 @@ def subject_absentees(g):
     ("records", "students", "sections"),
 )
 def monthly_summary(g):
-    built = attendance.monthly_summary(g.view("records"), g.view("students"), g.view("sections"))
+    built = marks.monthly_summary(g.view("records"), g.view("students"), g.view("sections"))
     return plain(built, "attendance_percentage")
 
 

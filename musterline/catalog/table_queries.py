@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from musterline.catalog.registry import cameras, detections, query, rounded, with_faces
+from musterline.catalog.walks import ALL_SHOTS, TRACKS
 from musterline.cluster import scratch_path
 from musterline.functions import scalars
-from musterline.operators import attendance, enrollment, references, upserts
+from musterline.operators import enrollment, marks, references, upserts
 from musterline.operators.profile import latency_summary
 from musterline.plans.enroll import load_enrollment
 from musterline.plans.extract import extract_people
@@ -509,7 +510,7 @@ def _attributed(g):
     ordered = g.table("orders").select(F.to_date("o_orderdate").alias("day"))
     middle = g.table("events").select(F.to_date("ts").alias("day")).filter(F.dayofmonth("day") == 15)
     off = ordered.union(middle).distinct()
-    return attendance.attribute_to_slots(plain_events(g), cameras(g), g.view("class_slots"), periods, off)
+    return marks.attribute_to_slots(plain_events(g), cameras(g), g.view("class_slots"), periods, off)
 
 
 @query(
@@ -531,8 +532,8 @@ def slot_attribution(g):
 )
 def ingest_ledger(g):
     done = plain_events(g).filter("camera_id = 'view'")
-    fresh = attendance.ingest_once(plain_events(g), done)
-    return attendance.ledger_entries(fresh, _attributed(g))
+    fresh = marks.ingest_once(plain_events(g), done)
+    return marks.ledger_entries(fresh, _attributed(g))
 
 
 @query(
@@ -544,7 +545,7 @@ def ingest_ledger(g):
     _SLOT_VIEWS,
 )
 def marks_from_presence(g):
-    return attendance.marks_from_presence(_attributed(g)).drop("entry_time", "exit_time")
+    return marks.marks_from_presence(_attributed(g)).drop("entry_time", "exit_time")
 
 
 @query(
@@ -554,7 +555,7 @@ def marks_from_presence(g):
 )
 def unknown_occurrences(g):
     unresolved = g.view("sightings").withColumnRenamed("captured_at", "frame_captured_at")
-    return attendance.unknown_occurrences(unresolved)
+    return marks.unknown_occurrences(unresolved)
 
 
 @query(
@@ -569,18 +570,48 @@ def event_latencies(g):
     events = plain_events(g)
     later = F.timestamp_micros(F.unix_micros("frame_captured_at") + 60_000_000)
     consumed = events.select("event_id", later.alias("consumed_at"))
-    summary = latency_summary(attendance.event_latencies(events, consumed))
+    summary = latency_summary(marks.event_latencies(events, consumed))
     return rounded(summary, "mean_ms", "max_ms", "p50_ms", "p95_ms")
 
 
-@query("S15_extracted_people")
+_EXTRACTED = (
+    ", inside AS MATERIALIZED (SELECT * FROM detections)"
+    + ALL_SHOTS
+    + TRACKS
+    + """, posed AS (
+    SELECT d.*, t.track_id, y2 - y1 AS h, sqrt(pow(right_x - left_x, 2) + pow(right_y - left_y, 2)) AS eyes,
+      abs(sqrt(pow(nose_x - left_x, 2) + pow(nose_y - left_y, 2)) - sqrt(pow(nose_x - right_x, 2) + pow(nose_y - right_y, 2))) AS uneven,
+      abs(degrees(atan2(right_y - left_y, right_x - left_x))) AS roll
+    FROM detections d JOIN tracked t ON d.camera_id = t.camera_id AND d.det_idx = t.det_idx),
+  best AS (SELECT * FROM (SELECT *, h * blur_variance AS q, row_number() OVER (
+      PARTITION BY camera_id, track_id ORDER BY h * blur_variance DESC, sequence, det_idx) AS place FROM posed
+    WHERE detector_score >= 0.5 AND h >= 70 AND blur_variance >= 30 AND NOT (has_landmarks AND (uneven / eyes > 2.0 OR roll > 60)))
+    WHERE place = 1),
+  views AS MATERIALIZED (SELECT g.camera_id, g.track_id, g.model_version, g.q,
+      list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] + z[2] * (g.det_idx % 9 / 6) AS FLOAT))::DOUBLE[] AS v
+    FROM best g JOIN embeddings a ON a.vec_id = g.user_id * 7 % 200 JOIN embeddings b ON b.vec_id = g.det_idx * 3 % 200),
+  links AS MATERIALIZED (SELECT a.camera_id, a.track_id AS a, b.track_id AS b FROM views a JOIN views b
+    ON a.camera_id = b.camera_id AND a.model_version = b.model_version AND a.track_id <> b.track_id
+    WHERE round(list_cosine_similarity(a.v, b.v), 12) >= 0.6),
+  reach AS (SELECT camera_id, track_id AS start, track_id AS node FROM views UNION
+    SELECT r.camera_id, r.start, l.b FROM reach r JOIN links l ON r.camera_id = l.camera_id AND r.node = l.a),
+  clusters AS (SELECT camera_id, start AS track_id, min(node) AS cluster FROM reach GROUP BY 1, 2),
+  sized AS (SELECT c.camera_id, cluster, count(*) AS fragments, max(q) AS q FROM clusters c
+    JOIN views v ON c.camera_id = v.camera_id AND c.track_id = v.track_id GROUP BY 1, 2)
+  SELECT camera_id AS source, row_number() OVER (PARTITION BY camera_id ORDER BY fragments DESC, q DESC, cluster) AS person,
+    fragments, least(3, fragments) AS photos_kept FROM sized"""
+)
+
+
+@query("S15_G02_extracted_people", _EXTRACTED, ("detections", "frames"))
 def extracted_people(g):
     """From detections to people and their reference times, clip by clip."""
     faces = with_faces(detections(g), g.table("embeddings"))
     frames = g.view("frames")
     clips = frames.select("camera_id").distinct().withColumn("native_fps", F.lit(4.0))
-    extracted = extract_people(faces, frames, clips, QUALITY, 0.6)
-    return extracted.manifest.select("source", "person", "directory", "photos_kept")
+    manifest = extract_people(faces, frames, clips, QUALITY, 0.6).manifest
+    fragments = F.get_json_object("line", "$.fragments").cast("bigint").alias("fragments")
+    return manifest.select("source", "person", fragments, "photos_kept")
 
 
 @query(

@@ -26,7 +26,7 @@ from test_gate import FRONTAL
 
 
 def test_student_ids_are_version_5_uuids(spark):
-    names = ["202405CS001", "ä-1", "x"]
+    names = ["2024-001", "ä-1", "x"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     space = uuid.UUID(scalars.STUDENT_NAMESPACE)
     for r in df.select("n", scalars.student_id_for(F.col("n")).alias("id")).collect():
