@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from musterline.cluster import cut_lineage, join_small, task_count
+from musterline.cluster import cut_lineage, small_table, task_count
 
 MAX_ROWS_PER_PIECE = 1_000_000
 OUTPUT_ROWS = 10_000
@@ -66,17 +66,30 @@ def fold(
         F.ceil((F.col("_to") - F.col("_from") + 1) * F.lit(float(max_rows)) / F.col("_rows")).alias("_span"),
     )
     if large.isEmpty():
-        return _run(rows.withColumn("_piece", F.lit(0).cast("bigint")), None, keys, order, step, False)
+        return _run(_uncut(rows), None, keys, order, step, False)
 
-    cut = join_small(rows, large, keys, "left")
-    piece = F.coalesce(F.floor((F.col(along) - F.col("_from")) / F.col("_span")), F.lit(0))
-    cut = cut_lineage(cut.withColumn("_piece", piece.cast("bigint")))
-    pieces = cut.filter(F.col("_span").isNotNull()).drop("_from", "_span")
+    copy = small_table(large)
+    cuts = large if copy is None else F.broadcast(copy)
+    piece = F.floor((F.col(along) - F.col("_from")) / F.col("_span")).cast("bigint")
+    pieces = rows.join(cuts, keys).withColumn("_piece", piece).drop("_from", "_span")
+    pieces = cut_lineage(pieces.select(*rows.columns, "_piece"))
+    known = cuts.select(*keys) if copy is None else F.broadcast(copy.select(*keys))
+    small = _run(_uncut(rows.join(known, keys, "left_anti")), None, keys, order, step, False)
+    entries = _settled_entries(pieces, keys, order, step)
+    return small.unionByName(_run(pieces, entries, keys, order, step, False))
+
+
+def _uncut(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_piece", F.lit(0).cast("bigint"))
+
+
+def _settled_entries(pieces: DataFrame, keys: list[str], order: list[str], step: Step) -> DataFrame:
+    """The true starting state of every piece but the first of its key."""
+    where = keys + ["_piece"]
     ends = cut_lineage(_run(pieces, None, keys, order, step, True))
-    entries = _entries(ends, keys)
+    entries = cut_lineage(_entries(ends, keys))
     stale = entries.filter(F.col("_state") != F.lit(step.dump(step.start())))
     while not stale.isEmpty():
-        where = keys + ["_piece"]
         redone = _run(pieces.join(stale.select(*where), where, "left_semi"), stale, keys, order, step, True)
         fixed = redone.withColumnRenamed("_state", "_fixed")
         ends = cut_lineage(
@@ -85,7 +98,7 @@ def fold(
         before = entries.withColumnRenamed("_state", "_before")
         entries = cut_lineage(_entries(ends, keys))
         stale = entries.join(before, where).filter(F.col("_state") != F.col("_before")).drop("_before")
-    return _run(cut.drop("_from", "_span"), entries, keys, order, step, False)
+    return entries
 
 
 def _entries(ends: DataFrame, keys: list[str]) -> DataFrame:
