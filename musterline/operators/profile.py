@@ -72,7 +72,7 @@ def examined_frames(
 ) -> DataFrame:
     """The frames an inspection looks at, plus the first one behind its budget (``place`` is
     ``max_frames + 1``), which shows how far the clip was decoded."""
-    described = frames.join(clips, "camera_id")
+    described = join_small(frames, clips, ["camera_id"], "inner")
     rate = spread_fps(sampling.target_fps, max_frames, F.col("duration_seconds")) if spread else F.lit(
         float(sampling.target_fps)
     )
@@ -172,7 +172,11 @@ def advice(profiled: DataFrame, quality: QualitySettings = QualitySettings()) ->
     no_frames, no_faces = c("frames_sampled") == 0, c("faces_total") == 0
     short = (c("duration_seconds") > 0) & (c("covered_seconds") < c("duration_seconds") * 0.9)
     rules = [
-        ("all_gated", c("faces_passed") == 0, F.lit("Every detected face failed the quality gate; see the gate failures.")),
+        (
+            "all_gated",
+            c("faces_passed") == 0,
+            F.lit("Every detected face failed the quality gate; see the gate failures."),
+        ),
         (
             "faces_too_small",
             height < gate,
@@ -184,7 +188,10 @@ def advice(profiled: DataFrame, quality: QualitySettings = QualitySettings()) ->
         (
             "faces_barely_large_enough",
             (height >= gate) & (height < gate * 1.3),
-            F.concat(F.lit("The median face is "), whole_text(height), F.lit(f"px high, close to the {gate}px gate; some will fail.")),
+            F.concat(
+                F.lit("The median face is "), whole_text(height),
+                F.lit(f"px high, close to the {gate}px gate; some will fail."),
+            ),
         ),
         (
             "blurred",
@@ -197,7 +204,10 @@ def advice(profiled: DataFrame, quality: QualitySettings = QualitySettings()) ->
         (
             "in_profile",
             yaw > quality.max_yaw_ratio,
-            F.format_string(f"Median yaw is %.2f, over the gate of {quality.max_yaw_ratio:.2f}: people are seen from the side.", yaw),
+            F.format_string(
+                f"Median yaw is %.2f, over the gate of {quality.max_yaw_ratio:.2f}: people are seen from the side.",
+                yaw,
+            ),
         ),
         (
             "partly_examined",
@@ -210,18 +220,24 @@ def advice(profiled: DataFrame, quality: QualitySettings = QualitySettings()) ->
         (
             "faces_rare",
             c("frames_with_faces") < c("frames_sampled") * 0.5,
-            F.format_string("Faces in only %d of %d sampled frames; a higher target_fps may catch more.",
-                            c("frames_with_faces"), c("frames_sampled")),
+            F.format_string(
+                "Faces in only %d of %d sampled frames; a higher target_fps may catch more.",
+                c("frames_with_faces"), c("frames_sampled"),
+            ),
         ),
     ]
+
     def note(name: str, text: Column) -> Column:
         return F.struct(F.lit(name).alias("rule"), text.alias("message"))
 
+    def alone(name: str, text: str) -> Column:
+        return F.array(note(name, F.lit(text)))
+
     found = F.array_compact(F.array(*[F.when(hit, note(name, text)) for name, hit, text in rules]))
     notes = (
-        F.when(no_frames, F.array(note("no_frames", F.lit("No frames were decoded; check the source."))))
-        .when(no_faces, F.array(note("no_faces", F.lit("No sampled frame shows a face; look at one before changing thresholds."))))
-        .when(F.size(found) == 0, F.array(note("usable", F.lit("The footage is usable as it is."))))
+        F.when(no_frames, alone("no_frames", "No frames were decoded; check the source."))
+        .when(no_faces, alone("no_faces", "No sampled frame shows a face; look at one before changing thresholds."))
+        .when(F.size(found) == 0, alone("usable", "The footage is usable as it is."))
         .otherwise(found)
     )
     return profiled.select("camera_id", F.posexplode(notes).alias("place", "_note")).select(
