@@ -138,7 +138,8 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def _at(rows: DataFrame, size: int) -> DataFrame:
-    return rows.select("_k1", "_k2", F.posexplode("_g").alias("_at", "hash"))
+    # Outer, as otherwise a filter on the size of the array moves down and rebuilds the array per element.
+    return rows.select("_k1", "_k2", F.posexplode_outer("_g").alias("_at", "hash"))
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
