@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterline.cluster import ship_package
-from musterline.llm import decontamination, fingerprints, quality, simhash
+from musterline.llm import decontamination, fingerprints, lines, pieces, quality, simhash
 from musterline.llm.tables import bound_batches, table
 
+TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -83,3 +85,52 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query("op9_sentencepiece_roundtrip")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = pieces.encoded(rows, f"{TOKENIZERS}/piece_bpe_32k.model")
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    "op10_line_dedup",
+    """
+    WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+                      generate_subscripts(string_split(text, chr(10)), 1) AS i
+               FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    k AS (SELECT doc_id, i, line, row_number() OVER w AS j, count(*) OVER (PARTITION BY doc_id) AS n
+          FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    win AS (SELECT doc_id, i AS first, coalesce(lead(i, 2) OVER w, lead(i) OVER w, i) AS last,
+                   line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c, j, n
+            FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
+    whole AS (SELECT *, least(n, 3) AS size FROM win WHERE j <= greatest(n - 2, 1)),
+    earliest AS (SELECT size, a, b, c, min({'d': doc_id, 'f': first}) AS e FROM whole GROUP BY size, a, b, c),
+    later AS (SELECT w.doc_id, w.first, w.last FROM whole w JOIN earliest e
+              ON w.size = e.size AND w.a = e.a AND w.b IS NOT DISTINCT FROM e.b AND w.c IS NOT DISTINCT FROM e.c
+              WHERE {'d': w.doc_id, 'f': w.first} > e.e),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
+    marked AS (SELECT l.doc_id, l.line, l.i, g.i IS NOT NULL AS removed,
+                      g.i IS NOT NULL AND (g.i - 1) NOT IN (SELECT x.i FROM gone x WHERE x.doc_id = l.doc_id) AS opens
+               FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, count(*) FILTER (opens) AS n_runs,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lines.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    total = F.size(F.split(F.coalesce("original", F.lit("")), "\n", -1)).cast("bigint")
+    return rows.select(
+        "doc_id",
+        total.alias("n_lines"),
+        F.coalesce(F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.size("runs"), F.lit(0)).cast("bigint").alias("n_runs"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
