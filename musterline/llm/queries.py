@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from musterline.cluster import ship_package
-from musterline.llm import decontamination, fingerprints, lines, pieces, quality, simhash
+from musterline.llm import decontamination, fingerprints, lines, pieces, quality, simhash, suffixes
 from musterline.llm.tables import bound_batches, table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
@@ -134,3 +134,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.size("runs"), F.lit(0)).cast("bigint").alias("n_runs"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffixes.without_repeats(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        F.octet_length("text").cast("bigint").alias("n_bytes"),
+        (F.octet_length("text") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
