@@ -291,7 +291,8 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     again = found.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), (F.min("segment") != F.max("segment")).alias("mixed")
     )
-    again = again.filter("n > 1").select("anchor", "mixed")
+    # A table of its own, as only a join of two plain shuffles has its hot anchors split.
+    again = cut_lineage(again.filter("n > 1").select("anchor", "mixed"))
     open_ = cut_lineage(found.join(again, "anchor"))
     one = [F.first(c).alias(c) for c in (*KEY, "first", "last", "mixed")]
     kinds = cut_lineage(open_.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), *one))
