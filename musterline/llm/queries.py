@@ -7,8 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from musterline.cluster import ship_package
-from musterline.llm import decontamination, fingerprints, lines, pieces, quality, simhash, suffixes
+from musterline.cluster import scratch_path, ship_package
+from musterline.llm import (
+    chat,
+    decontamination,
+    fingerprints,
+    lines,
+    pieces,
+    quality,
+    simhash,
+    suffixes,
+    token_files,
+    urls,
+)
 from musterline.llm.tables import bound_batches, table
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabulary files
@@ -146,3 +157,42 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op5_token_counts")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    files = scratch_path(spark, "tokens")
+    order = token_files.write_token_files(
+        table(spark, folder, "documents"), files, f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    )
+    return order.join(token_files.document_lengths(spark, files), ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
+@query(
+    "op6_perspective_rotation",
+    """
+    WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+    p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+    s AS (SELECT t.conv_id, perspective, turn, role, text, role = perspective AS own,
+                 CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+                      ELSE '<|user name=' || replace(role, '<|', '< |') || '|>' END || chr(10) AS head,
+                 replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body
+          FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+    o AS (SELECT *, row_number() OVER w AS position,
+                 CAST(sum(length(head) + length(body)) OVER w AS BIGINT) AS until
+          FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, role, text
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT conv_id, perspective, position, turn, role, head || body AS segment,
+           until - length(head) - length(body) AS start,
+           CASE WHEN own THEN until - length(body) END AS mask_start, CASE WHEN own THEN until END AS mask_end
+    FROM o
+    """,
+)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.perspectives(table(spark, folder, "conversations"))
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rows = urls.judged(table(spark, folder, "pages"))
+    return rows.select("page_id", "host", "path", "rule", "verdict")
