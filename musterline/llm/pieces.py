@@ -16,6 +16,7 @@ The mark U+2581 itself decodes to a blank, as in the library.
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import ahocorasick
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-KEPT_CHUNKS = 400_000
-KEPT_PAIRS = 400_000
+KEPT_CHUNKS = 150_000
+KEPT_PAIRS = 150_000
 LONGEST_KEPT = 64
 
 
@@ -73,10 +74,11 @@ class Encoder:
             self.ids[p]: next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in known), None)
             for p in reachable
         }
-        characters = "".join(re.escape(p) for p in self.ids if len(p) == 1)
-        self.parts = re.compile(f"([{characters}]+)")
+        self.characters = frozenset(p for p in self.ids if len(p) == 1)
+        self.parts = re.compile(f"([{''.join(map(re.escape, self.characters))}]+)")
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*")
         self.kept: dict[str, bytes] = {}
+        self.kept_before: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.as_bytes = [p.replace(MARK, " ").encode() for p in pieces]
         for value, i in self.byte_ids.items():
@@ -116,13 +118,13 @@ class Encoder:
             longest[last - length + 1] = piece
         if self.lengths[longest[0]] == n:
             return [longest[0]]
-        lengths, shorter, fits = self.lengths, self.shorter, self.fits
+        lengths, shorter, pairs, fits = self.lengths, self.shorter, self.pairs, self.fits
         open_ = bytearray(b"\x01") * (n + 1)
         taken: list[int] = []
         at, piece = 0, longest[0]
         while at < n:
             end = at + lengths[piece]
-            if open_[end] and (not taken or fits(taken[-1], piece)):
+            if open_[end] and (not taken or pairs.get(taken[-1] << 32 | piece) or fits(taken[-1], piece)):
                 taken.append(piece)
                 at = end
                 piece = longest[at] if at < n else 0
@@ -139,7 +141,20 @@ class Encoder:
         return taken
 
     def chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
+        """The ids of a chunk. Those met lately are kept, in two generations: what is met again while the older
+        one is dropped moves on to the newer."""
+        found = self.kept_before.get(chunk) or self.encoded(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self.kept) >= KEPT_CHUNKS:
+                self.kept_before, self.kept = self.kept, {}
+            self.kept[chunk] = found
+        return found
+
+    def encoded(self, chunk: str) -> bytes:
+        if self.characters.issuperset(chunk):
+            ids = self.known_part(chunk)
+            return struct.pack(f"<{len(ids)}I", *ids)
+        ids = []
         for i, part in enumerate(self.parts.split(chunk)):
             if not part:
                 continue
@@ -147,20 +162,15 @@ class Encoder:
                 ids.extend(self.known_part(part))
             else:
                 ids.extend(self.byte_ids[b] for b in part.encode("utf-8", "surrogatepass"))
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self.kept) >= KEPT_CHUNKS:
-                self.kept.clear()
-            self.kept[chunk] = found
-        return found
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids with begin and end, as little-endian unsigned 32-bit integers."""
-        kept, parts = self.kept, [np.array([self.begin], dtype="<u4").tobytes()]
+        parts = [struct.pack("<I", self.begin)]
         if text:
             for chunk in self.chunks.findall(MARK + text.replace(" ", MARK)):
-                parts.append(kept.get(chunk) or self.chunk(chunk))
-        parts.append(np.array([self.end], dtype="<u4").tobytes())
+                parts.append(self.kept.get(chunk) or self.chunk(chunk))
+        parts.append(struct.pack("<I", self.end))
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 2_000
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
