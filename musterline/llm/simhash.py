@@ -212,7 +212,9 @@ def one_of_each(documents: DataFrame, slice_rows: int = SLICE) -> DataFrame:
         return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
 
     text = F.coalesce(F.col("_row.text"), F.lit("")).cast("binary")
-    packed = documents.select(row).withColumn("fingerprint", prints(text)).join(tied, "fingerprint")
+    # Not to be repeated in a filter, which the join would otherwise infer and move below.
+    once = prints.asNondeterministic()
+    packed = documents.select(row).withColumn("fingerprint", once(text)).join(tied, "fingerprint")
     order = F.struct(F.col("_row.doc_id").isNull(), F.col("_row.doc_id"), F.col("_row.text"))
     kept = packed.groupBy("component").agg(F.min_by("_row", order).alias("_row"))
     return kept.select(*[F.col("_row")[c].alias(c) for c in documents.columns])
