@@ -55,8 +55,11 @@ def detections(given: Given) -> DataFrame:
 
 
 def with_faces(detections: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """Detections with a vector: a person's own one of the given vectors, tinged with another."""
-    own, other = F.pmod(F.col("user_id") * 7, F.lit(200)), F.pmod(F.col("det_idx") * 3, F.lit(200))
+    """Detections with a vector: a person's own one of all given vectors, tinged with another.
+
+    Vectors are numbered from 0 on, and the numbers of detections run through all of them."""
+    vectors = embeddings.agg(F.count(F.lit(1))).scalar()
+    own, other = F.pmod(F.col("user_id") * 7, vectors), F.pmod(F.col("det_idx"), vectors)
     mine = embeddings.select(F.col("vec_id").alias("_own"), F.col("embedding").alias("_mine"))
     tinge = embeddings.select(F.col("vec_id").alias("_other"), F.col("embedding").alias("_tinge"))
     weight = (F.col("det_idx") % 9) / 6

@@ -253,10 +253,12 @@ def events_with_upgrades(g):
 
 
 def _stream(g, table: str):
-    """A given table as a file stream; the files of a micro-batch bound what one key can hold."""
-    schema = g.spark.read.parquet(f"{g.folder}/{table}.parquet").schema
-    reader = g.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    return reader.option("maxFilesPerTrigger", 64).parquet(g.folder)
+    """A given table, one file or a folder of them, as a file stream; the files of a micro-batch bound
+    what one key can hold."""
+    path = f"{g.folder}/{table}.parquet"
+    schema = g.spark.read.parquet(path).schema
+    # As a pattern the path may name either; a plain one has to be a folder.
+    return g.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path.replace(".parquet", ".parque[t]"))
 
 
 def _sighting_stream(g):

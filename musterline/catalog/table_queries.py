@@ -374,7 +374,7 @@ def claimed_events(g):
 def claim_stream(g):
     path = scratch_path(g.spark, "queue")
     events = plain_events(g).select("event_id", "student_id", "frame_captured_at")
-    events.repartition(4, "event_id").write.parquet(path)
+    events.write.parquet(path)
     queue = jobs.claim_stream(g.spark, path, "event_id string, student_id string, frame_captured_at timestamp")
     claimed = jobs.replayed(g.spark, queue, "claimed")
     return claimed.groupBy("event_id").agg(F.count(F.lit(1)).alias("claims"))
@@ -589,7 +589,8 @@ _EXTRACTED = (
     WHERE place = 1),
   views AS MATERIALIZED (SELECT g.camera_id, g.track_id, g.model_version, g.q,
       list_transform(list_zip(a.embedding, b.embedding), lambda z: cast(z[1] + z[2] * (g.det_idx % 9 / 6) AS FLOAT))::DOUBLE[] AS v
-    FROM best g JOIN embeddings a ON a.vec_id = g.user_id * 7 % 200 JOIN embeddings b ON b.vec_id = g.det_idx * 3 % 200),
+    FROM best g JOIN embeddings a ON a.vec_id = g.user_id * 7 % (SELECT count(*) FROM embeddings)
+      JOIN embeddings b ON b.vec_id = g.det_idx % (SELECT count(*) FROM embeddings)),
   links AS MATERIALIZED (SELECT a.camera_id, a.track_id AS a, b.track_id AS b FROM views a JOIN views b
     ON a.camera_id = b.camera_id AND a.model_version = b.model_version AND a.track_id <> b.track_id
     WHERE round(list_cosine_similarity(a.v, b.v), 12) >= 0.6),
