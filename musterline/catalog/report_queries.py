@@ -106,6 +106,46 @@ def alert_upsert(g):
     return plain(reports.refresh_alerts(old, summary), "percentage")
 
 
+@query(
+    "A02_U01_refreshed_subject_summary",
+    _SUMMARY
+    + """, old AS (SELECT student_id, CASE WHEN late_classes > 0 THEN subject_id ELSE -subject_id - 1 END AS subject_id, academic_year_id,
+           semester_id, 1 AS total_classes, 1 AS attended_classes, 0 AS absent_classes, 0 AS late_classes, 100.0e0 AS percentage FROM summary)
+         SELECT * FROM summary UNION ALL SELECT * FROM old WHERE subject_id < 0""",
+    ("records", "timetable"),
+)
+def refreshed_subject_summary(g):
+    """Old rows of the same keys are replaced, those of other keys stay."""
+    summary = _summary(g)
+    moved = F.when(F.col("late_classes") > 0, F.col("subject_id")).otherwise(-F.col("subject_id") - 1)
+    ones = {"total_classes": 1, "attended_classes": 1, "absent_classes": 0, "late_classes": 0}
+    old = summary.withColumns(
+        {
+            "subject_id": moved.cast(summary.schema["subject_id"].dataType),
+            "percentage": F.lit(100).cast(summary.schema["percentage"].dataType),
+            **{c: F.lit(v).cast("bigint") for c, v in ones.items()},
+            "last_updated": F.current_timestamp(),
+        }
+    )
+    refreshed = reports.refresh_subject_summary(old, g.view("records"), g.view("timetable"))
+    return plain(refreshed.drop("last_updated"), "percentage")
+
+
+@query(
+    "A04_replaced_alerts",
+    _SUMMARY
+    + """SELECT student_id, subject_id, semester_id, percentage,
+           CASE WHEN percentage < 50 THEN 'critical' WHEN percentage < 60 THEN 'below60' ELSE 'below75' END AS alert_type
+         FROM summary WHERE percentage < 75""",
+    ("records", "timetable"),
+)
+def replaced_alerts(g):
+    """The wiping refresh: alerts of those who have recovered go."""
+    summary = _summary(g)
+    old = reports.defaulter_alerts(summary).withColumn("semester_id", F.lit(-1))
+    return plain(reports.refresh_alerts(old, summary, mode="replace"), "percentage")
+
+
 _DAILY = f""", heads AS (SELECT section_id, student_id FROM students WHERE enrollment_status = 'active'),
   counted AS (SELECT section_id, count(DISTINCT student_id) AS heads, coalesce(sum(n), 0) AS n, coalesce(sum(here), 0) AS here,
       coalesce(sum(away), 0) AS away, coalesce(sum(tardy), 0) AS tardy
@@ -122,6 +162,29 @@ def daily_summary(g):
     return plain(summary, "attendance_percentage")
 
 
+@query(
+    "A03_U01_refreshed_daily_summary",
+    _DAILY.replace("FROM counted JOIN sections USING (section_id)", "FROM counted JOIN sections USING (section_id) UNION ALL\n  SELECT DATE '1990-01-01', department_id, section_id, 1, 1, 0, 0, 100.0e0 FROM sections"),
+    ("sections", "students", "records"),
+)
+def refreshed_daily_summary(g):
+    """Another day's rows stay, and the day's own are replaced."""
+    columns = ["attendance_date", "department_id", "section_id", "total_students", "present_count", "absent_count", "late_count", "attendance_percentage"]
+    fresh = reports.daily_summary(g.view("records"), g.view("students"), g.view("sections"), DAY).select(*columns)
+
+    def all_present(date):
+        counts = {"total_students": 1, "present_count": 1, "absent_count": 0, "late_count": 0, "attendance_percentage": 100}
+        rows = g.view("sections").withColumns({c: F.lit(v) for c, v in counts.items()})
+        rows = rows.withColumn("attendance_date", F.lit(date).cast("date"))
+        return rows.select(*[F.col(c).cast(fresh.schema[c].dataType).alias(c) for c in columns])
+
+    old = all_present("1990-01-01").unionByName(
+        all_present(DAY).join(fresh.select("section_id"), "section_id", "left_semi").select(*columns)
+    )
+    views = (g.view(v) for v in ("records", "students", "sections"))
+    return plain(reports.refresh_daily_summary(old, *views, DAY).select(*columns), "attendance_percentage")
+
+
 @query(
     "A03_legacy_daily_summary",
     f""", counted AS (SELECT section_id, count(DISTINCT student_id) AS heads, cast(coalesce(sum(n), 0) AS BIGINT) AS n,
@@ -222,6 +285,46 @@ def camera_dashboard(g):
     return reports.camera_dashboard(g.view("cameras"), g.view("classrooms"))
 
 
+@query(
+    "J10_legacy_camera_dashboard",
+    """ SELECT camera_id, camera_name, status, concat('10.0.0.', cast(length(camera_id) AS STRING)) AS ip_address, '640x480' AS resolution,
+          length(camera_id) * 5 AS fps,
+          (SELECT any_value(room_number) FROM classrooms k WHERE k.classroom_id = own.classroom_id) AS room_number
+        FROM cameras own""",
+    ("cameras", "classrooms"),
+)
+def legacy_camera_dashboard(g):
+    size = F.length("camera_id").cast("bigint")
+    delivered = {
+        "ip_address": F.concat(F.lit("10.0.0."), size.cast("string")), "resolution": F.lit("640x480"), "fps": size * 5,
+    }
+    return reports.legacy_camera_dashboard(g.view("cameras").withColumns(delivered), g.view("classrooms"))
+
+
+@query(
+    "J11_legacy_unknown_faces",
+    """, met AS (SELECT student_id AS face_id, CASE WHEN cast(student_id AS BIGINT) % 4 = 0 THEN 'removed' ELSE min(camera_id) END AS camera_id,
+           concat('faces/', student_id, '.jpg') AS image_path, round(max(confidence), 2) AS confidence,
+           min(captured_at) AS first_seen, max(captured_at) AS last_seen, count(*) > 2 AS reviewed
+         FROM sightings GROUP BY student_id)
+       SELECT face_id, upper(camera_id) AS camera_name, image_path, confidence, first_seen, last_seen, reviewed
+       FROM met WHERE camera_id IN (SELECT camera_id FROM cameras)""",
+    ("sightings", "cameras"),
+)
+def legacy_unknown_faces(g):
+    met = g.view("sightings").groupBy(F.col("student_id").alias("face_id")).agg(
+        F.min("camera_id").alias("camera_id"),
+        F.round(F.max("confidence"), 2).alias("confidence"),
+        F.min("captured_at").alias("first_seen"),
+        F.max("captured_at").alias("last_seen"),
+        (F.count(F.lit(1)) > 2).alias("reviewed"),
+    )
+    gone = F.col("face_id").cast("bigint") % 4 == 0
+    met = met.withColumn("camera_id", F.when(gone, "removed").otherwise(F.col("camera_id")))
+    met = met.withColumn("image_path", F.concat(F.lit("faces/"), "face_id", F.lit(".jpg")))
+    return reports.legacy_unknown_faces(met, g.view("cameras"))
+
+
 @query(
     "J11_unknown_reviews",
     """ SELECT det_idx AS detection_id, camera_id, captured_at AS frame_captured_at, 'match' AS stage, 'below threshold' AS reason,

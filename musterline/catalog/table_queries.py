@@ -558,6 +558,22 @@ def unknown_occurrences(g):
     return marks.unknown_occurrences(unresolved)
 
 
+@query(
+    "X05_unknown_people",
+    """, clusters AS (SELECT sighting_id, cast(student_id AS BIGINT) % 50 AS cluster_id FROM sightings WHERE sighting_id % 3 > 0)
+       SELECT cluster_id, count(*) AS occurrence_count, min(captured_at) AS first_seen, max(captured_at) AS last_seen
+       FROM sightings JOIN clusters USING (sighting_id) GROUP BY 1""",
+    ("sightings",),
+)
+def unknown_people(g):
+    """Per person, over the detections whose vectors were kept and grouped."""
+    seen = g.view("sightings").withColumnRenamed("captured_at", "frame_captured_at")
+    seen = seen.withColumnRenamed("sighting_id", "detection_id")
+    person = F.pmod(F.col("student_id").cast("bigint"), F.lit(50)).alias("cluster_id")
+    clusters = seen.filter("detection_id % 3 > 0").select("detection_id", person)
+    return marks.unknown_occurrences(seen, clusters)
+
+
 @query(
     "X06_event_latencies",
     """, samples AS (SELECT 'presence_latency' AS stage, (sighting_id % 1000 + 1) * 1.0e0 AS ms FROM sightings WHERE sighting_id % 2 = 0
@@ -599,20 +615,53 @@ _EXTRACTED = (
   clusters AS (SELECT camera_id, start AS track_id, min(node) AS cluster FROM reach GROUP BY 1, 2),
   sized AS (SELECT c.camera_id, cluster, count(*) AS fragments, max(q) AS q FROM clusters c
     JOIN views v ON c.camera_id = v.camera_id AND c.track_id = v.track_id GROUP BY 1, 2)
-  SELECT camera_id AS source, row_number() OVER (PARTITION BY camera_id ORDER BY fragments DESC, q DESC, cluster) AS person,
-    fragments, least(3, fragments) AS photos_kept FROM sized"""
+"""
 )
+_NUMBERED = """, people AS (SELECT camera_id, cluster, fragments,
+    row_number() OVER (PARTITION BY camera_id ORDER BY fragments DESC, q DESC, cluster) AS person FROM sized)"""
 
 
-@query("S15_G02_extracted_people", _EXTRACTED, ("detections", "frames"))
-def extracted_people(g):
+def _extracted(g):
     """From detections to people and their reference times, clip by clip."""
     faces = with_faces(detections(g), g.table("embeddings"))
     frames = g.view("frames")
     clips = frames.select("camera_id").distinct().withColumn("native_fps", F.lit(4.0))
-    manifest = extract_people(faces, frames, clips, QUALITY, 0.6).manifest
+    return extract_people(faces, frames, clips, QUALITY, 0.6)
+
+
+@query(
+    "S15_G02_extracted_people",
+    _EXTRACTED
+    + _NUMBERED
+    + " SELECT camera_id AS source, person, fragments, least(3, fragments) AS photos_kept FROM people",
+    ("detections", "frames"),
+)
+def extracted_people(g):
     fragments = F.get_json_object("line", "$.fragments").cast("bigint").alias("fragments")
-    return manifest.select("source", "person", fragments, "photos_kept")
+    return _extracted(g).manifest.select("source", "person", fragments, "photos_kept")
+
+
+@query(
+    "S15_person_tracks",
+    _EXTRACTED
+    + _NUMBERED
+    + """ SELECT c.camera_id AS source, person, concat('person_', CASE WHEN person < 10 THEN '0' ELSE '' END, cast(person AS STRING))
+          AS directory, track_id FROM clusters c JOIN people p ON c.camera_id = p.camera_id AND c.cluster = p.cluster""",
+    ("detections", "frames"),
+)
+def person_tracks(g):
+    return _extracted(g).tracks
+
+
+@query(
+    "S15_manifest_head",
+    _EXTRACTED
+    + """ SELECT camera_id AS source, 0.6e0 AS similarity_threshold, cast(sum(fragments) AS BIGINT) AS tracks_found,
+            count(*) AS people_found FROM sized GROUP BY 1""",
+    ("detections", "frames"),
+)
+def manifest_head(g):
+    return _extracted(g).summary
 
 
 @query(

@@ -89,7 +89,24 @@ def people_manifest(people: DataFrame, references: DataFrame) -> DataFrame:
     return described.select("source", "person", "cluster_id", "directory", "photos_kept", line.alias("line"))
 
 
-def write_people(manifest: DataFrame, root: str) -> None:
-    """Replaces the people of an earlier run below ``root`` and nothing else there."""
-    lines = manifest.select("source", "line").write.mode("overwrite").partitionBy("source")
-    lines.option("partitionOverwriteMode", "static").text(f"{root}/people")
+def person_tracks(people: DataFrame, members: DataFrame) -> DataFrame:
+    """(source, person, directory, track_id), one row for every track of every person."""
+    named = people.select("source", "cluster_id", "person", F.format_string("person_%02d", "person").alias("directory"))
+    return members.join(named, ["source", "cluster_id"]).select("source", "person", "directory", "track_id")
+
+
+def write_people(
+    manifest: DataFrame, root: str, tracks: DataFrame | None = None, head: DataFrame | None = None
+) -> None:
+    """Replaces the people of an earlier run below ``root`` and nothing else there: a line per person, and
+    beside them, where given, the tracks of each person and a line per source about the run."""
+
+    def replace(rows: DataFrame, folder: str) -> None:
+        lines = rows.select("source", "line").write.mode("overwrite").partitionBy("source")
+        lines.option("partitionOverwriteMode", "static").text(f"{root}/{folder}")
+
+    replace(manifest, "people")
+    for rows, folder in ((tracks, "tracks"), (head, "head")):
+        if rows is not None:
+            told = [c for c in rows.columns if c != "source"] if folder == "tracks" else rows.columns
+            replace(rows.withColumn("line", F.to_json(F.struct(*told))), folder)

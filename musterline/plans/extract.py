@@ -12,7 +12,13 @@ from musterline.functions.scalars import offset_seconds
 from musterline.operators.gate import assess_quality
 from musterline.operators.grouping import fragmentation, single_linkage
 from musterline.operators.ordering import numbered
-from musterline.operators.references import best_per_track, order_people, people_manifest, select_references
+from musterline.operators.references import (
+    best_per_track,
+    order_people,
+    people_manifest,
+    person_tracks,
+    select_references,
+)
 from musterline.operators.tracking import assign_tracks
 from musterline.settings import QualitySettings, TrackingSettings
 
@@ -22,7 +28,8 @@ class Extracted(NamedTuple):
     people: DataFrame
     references: DataFrame
     manifest: DataFrame
-    summary: DataFrame
+    summary: DataFrame  # the head of the manifest, a row per source
+    tracks: DataFrame
 
 
 def extract_people(
@@ -60,8 +67,11 @@ def extract_people(
         references,
         people_manifest(people, references),
         members.groupBy("source").agg(
-            F.count(F.lit(1)).alias("tracks_found"), F.countDistinct("cluster_id").alias("people_found")
+            F.lit(similarity_threshold).alias("similarity_threshold"),
+            F.count(F.lit(1)).alias("tracks_found"),
+            F.countDistinct("cluster_id").alias("people_found"),
         ),
+        person_tracks(people, members),
     )
 
 

@@ -195,6 +195,21 @@ def camera_dashboard(cameras: DataFrame, classrooms: DataFrame) -> DataFrame:
     )
 
 
+def legacy_camera_dashboard(cameras: DataFrame, classrooms: DataFrame) -> DataFrame:
+    """The older dashboard: what a camera is and delivers, and its room where it has one."""
+    rooms = classrooms.select("classroom_id", "room_number")
+    return cameras.join(rooms, "classroom_id", "left").select(
+        "camera_id", "camera_name", "room_number", "status", "ip_address", "resolution", "fps"
+    )
+
+
+def legacy_unknown_faces(unknown: DataFrame, cameras: DataFrame) -> DataFrame:
+    """The older list of unknown faces: only those of known cameras, under the camera's name."""
+    return unknown.join(cameras.select("camera_id", "camera_name"), "camera_id").select(
+        "face_id", "camera_name", "image_path", "confidence", "first_seen", "last_seen", "reviewed"
+    )
+
+
 def unknown_reviews(unresolved: DataFrame, reviews: DataFrame) -> DataFrame:
     joined = unresolved.join(reviews.select("detection_id", "reviewed", "remarks"), "detection_id", "left")
     return joined.select(

@@ -86,7 +86,19 @@ def test_zero_vector_fails(spark):
         search(probes, gallery, 1).collect()
 
 
-def test_blocks_with_many_copies_agree_with_brute_force(spark):
+def test_probes_stay_where_they_are_for_a_small_gallery(spark, capsys):
+    gallery = spark.createDataFrame([("e1", "A", "A", [1.0, 0.0], "m1")], GALLERY)
+    probes = spark.createDataFrame([("p", [1.0, 0.0], "m1"), ("q", [1.0, 0.0], None)], PROBES)
+    found = search(probes, gallery, 1)
+    assert [r.probe_id for r in found.collect()] == ["p"]
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    tree = plan.split("(1)")[0]
+    assert tree.index("Exchange") < tree.index("MapInArrow") and "Exchange" not in tree[tree.index("MapInArrow") :]
+
+
+@pytest.mark.parametrize("resident_bytes", [0, 1 << 26])
+def test_blocks_with_many_copies_agree_with_brute_force(spark, resident_bytes):
     rng = np.random.default_rng(3)
     vectors = rng.standard_normal((180, 8)).astype(np.float32)
     vectors[:60] = vectors[0]
@@ -94,7 +106,7 @@ def test_blocks_with_many_copies_agree_with_brute_force(spark):
     rows = [(ids[i], f"s{i % 7}", f"s{i % 7}", vectors[i].tolist(), "m1") for i in range(180)]
     gallery = spark.createDataFrame(rows, GALLERY)
     probes = gallery.selectExpr("embedding_id as probe_id", "embedding", "model_version")
-    found = search(probes, gallery, 5, exclude_same_id=True, block_rows=25)
+    found = search(probes, gallery, 5, exclude_same_id=True, block_rows=25, resident_bytes=resident_bytes)
     got = {(r.probe_id, r.candidate_rank): r.embedding_id for r in found.collect()}
 
     units = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
