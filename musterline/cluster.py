@@ -50,11 +50,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder and read back.
 
     A lost executor then costs no recomputation of what came before, and later readers only fetch
-    the columns they use. The files stay until the folder is cleaned, as checkpoints do.
+    the columns they use. The files stay until the folder is cleaned, as checkpoints do, or until
+    ``discard`` is called.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Deletes the files of a table made by ``cut_lineage`` that nothing will read any more."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def task_count(spark: SparkSession) -> int:

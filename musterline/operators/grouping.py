@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from musterline.cluster import cut_lineage
+from musterline.cluster import cut_lineage, discard
 from musterline.operators.blocks import TILE_ROWS, compare_blocks, tiles, unit_matrix
 
 LINK_BLOCK_ROWS = 8_000
@@ -135,23 +135,25 @@ def link_forest(fragments: DataFrame, threshold: float, block_rows: int = LINK_B
     )
 
 
-def _fingerprint(edges: DataFrame):
-    """Count and hash sum of a set of edges; equal sets give equal fingerprints."""
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, with their count and hash sum, which the write itself takes in passing.
+    Equal sets of edges give equal sums."""
+    seen = Observation()
     total = F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))
-    return edges.agg(F.count(F.lit(1)), total).first()
+    table = cut_lineage(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")))
+    return table, (seen.get["n"], seen.get["total"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component), the component being its smallest node, for all nodes with an edge.
 
     Alternating star contraction (Kiveris et al., 2014): each round ties larger neighbours, then
-    smaller ones, to the smallest node in sight. Minima are combined map-side, and every round is
-    checkpointed.
+    smaller ones, to the smallest node in sight. Minima are combined map-side. A round is one job
+    that writes its table; the table of the round before is deleted once it is superseded.
     """
     hi, lo = F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")
-    stars = cut_lineage(edges.filter("a <> b").select(hi, lo).distinct())
-    seen = _fingerprint(stars)
-    while True:
+    stars, seen = _written(edges.filter("a <> b").select(hi, lo).distinct())
+    while seen[0]:
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -162,8 +164,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         smallest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         tied = large.join(smallest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = tied.union(smallest.select("hi", F.col("m").alias("lo"))).distinct()
-        stars = cut_lineage(small)
-        now = _fingerprint(stars)
+        before = stars
+        stars, now = _written(small)
+        discard(before)
         if now == seen:
             break
         seen = now
