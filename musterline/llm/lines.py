@@ -26,8 +26,8 @@ RUN = 3
 KEY = ["_k1", "_k2"]
 
 
-def _windows(text: Column, run: int) -> Column:
-    """Per window: the lines it spans, its fingerprint, how many lines it has, and their hashes."""
+def _kept_lines(text: Column) -> Column:
+    """The lines that are not blank, as (hash, place)."""
     blank = " \t\r"
     lines = F.transform(
         F.split(text, "\n", -1),
@@ -40,7 +40,7 @@ def _windows(text: Column, run: int) -> Column:
 
 def windows(documents: DataFrame, run: int = RUN) -> DataFrame:
     """(_k1, _k2, doc_id, first, last, fingerprint, size, h0, h1, ...) of every window of every row."""
-    rows = documents.select(*row_key("doc_id", "text"), "doc_id", _windows(F.col("text"), run).alias("kept"))
+    rows = documents.select(*row_key("doc_id", "text"), "doc_id", _kept_lines(F.col("text")).alias("kept"))
     many = F.size("kept")
 
     def window(start, i):

@@ -147,7 +147,26 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op4_suffix_dedup")
+@query(
+    "op4_suffix_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, i, hash(substring(h, 2 * i + 1, 400)) AS k
+          FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d WHERE len(h) >= 400)),
+    hit AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+    opened AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS opens FROM hit),
+    numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM opened),
+    runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, run),
+    gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+    cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last,
+                   string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+            FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+           coalesce(spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN cut USING (doc_id)
+    """,
+)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     rows = suffixes.without_repeats(table(spark, folder, "documents"))
     return rows.select(
@@ -192,7 +211,67 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return chat.perspectives(table(spark, folder, "conversations"))
 
 
-@query("op8_url_filter")
+def _url_check() -> str:
+    """The rules, the two models order by order, and the threshold as SQL."""
+    rules = sorted(urls.RULES, key=lambda r: -len(r[0]))
+
+    def fits(rule: str) -> str:
+        domain, _, rest = rule.partition("/")
+        return f"(host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{rest}')"
+
+    rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for r, _ in rules)
+    verdict = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in rules)
+
+    def chance(count: str, total: str, kinds: str, lower: str) -> str:
+        return f"CASE WHEN {total} + {kinds} > 0 THEN ({count} + {kinds} * {lower}) / ({total} + {kinds}) ELSE {lower} END"
+
+    orders = []
+    for k in range(urls.CONTEXT + 1):
+        columns = []
+        for c in ("allow", "block"):
+            lower = (f"1.0e0 / {urls.CHARACTERS}",) * 2 if k == 0 else (f"q.{c}_p", f"q.{c}_q")
+            columns.append(f"{chance(f'c.{c}', f't.{c}', f't.{c}_kinds', lower[0])} AS {c}_p")
+            less = f"greatest(c.{c} - 1, 0)", f"greatest(t.{c} - 1, 0)", f"(t.{c}_kinds - (c.{c} = 1)::INT)"
+            columns.append(f"{chance(*less, lower[1])} AS {c}_q")
+        shorter = f"JOIN p{k - 1} q ON q.g = substring(c.g, 2, {k})" if k else ""
+        orders.append(f"""c{k} AS (SELECT substring(gram, {urls.CONTEXT + 1 - k}, {k + 1}) AS g, sum(allow)::DOUBLE AS allow,
+              sum(block)::DOUBLE AS block FROM counts GROUP BY 1),
+            t{k} AS (SELECT substring(g, 1, {k}) AS g, sum(allow) AS allow, sum(block) AS block,
+              count(*) FILTER (allow > 0) AS allow_kinds, count(*) FILTER (block > 0) AS block_kinds FROM c{k} GROUP BY 1),
+            p{k} AS MATERIALIZED (SELECT c.g, {', '.join(columns)}
+              FROM c{k} c JOIN t{k} t ON t.g = substring(c.g, 1, {k}) {shorter})""")
+    ratio = " ".join(
+        f"WHEN decided {test} THEN ln({a}) - ln({b})"
+        for test, a, b in (("= 'allow'", "allow_q", "block_p"), ("= 'block'", "allow_p", "block_q"), ("IS NULL", "allow_p", "block_p"))
+    )
+    return f"""
+    WITH cut_out AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest
+        FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
+    named AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut_out),
+    ruled AS (SELECT *, CASE {rule} END AS rule FROM named),
+    parts AS MATERIALIZED (SELECT *, CASE rule {verdict} END AS decided, host || path AS text FROM ruled),
+    texts AS (SELECT text, decided, count(*) AS n FROM parts GROUP BY ALL),
+    grams AS MATERIALIZED (SELECT text, decided, n, substring(repeat(chr(2), {urls.CONTEXT}) || text || chr(3), i, {urls.CONTEXT + 1}) AS gram
+        FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM texts)),
+    counts AS MATERIALIZED (SELECT gram, coalesce(sum(n) FILTER (decided = 'allow'), 0) AS allow,
+        coalesce(sum(n) FILTER (decided = 'block'), 0) AS block FROM grams GROUP BY 1),
+    {', '.join(orders)},
+    scores AS MATERIALIZED (SELECT text, decided, n, sum(CAST(round(own * {urls.UNITS}) AS BIGINT)) / count(*) / {urls.UNITS} AS score
+        FROM (SELECT text, decided, n, CASE {ratio} END AS own FROM grams JOIN p{urls.CONTEXT} ON g = gram) GROUP BY ALL),
+    steps AS (SELECT CAST(round(least(greatest(score, -{urls.LIMIT}), {urls.LIMIT}) * {urls.STEPS}) AS INT) AS step,
+        coalesce(sum(n) FILTER (decided = 'allow'), 0) AS allow, coalesce(sum(n) FILTER (decided = 'block'), 0) AS block
+        FROM scores WHERE decided IS NOT NULL GROUP BY 1),
+    tried AS (SELECT step, coalesce(sum(allow) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(allow) OVER ()
+          + sum(block) OVER (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / sum(block) OVER () AS errors,
+        sum(allow) OVER () * sum(block) OVER () > 0 AS both_kinds FROM steps),
+    chosen AS (SELECT coalesce((SELECT (step - 0.5e0) / {urls.STEPS} FROM tried WHERE both_kinds ORDER BY errors, step LIMIT 1), 0) AS cut)
+    SELECT page_id, host, path, rule, coalesce(p.decided, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict
+    FROM parts p JOIN scores s ON p.text = s.text AND p.decided IS NOT DISTINCT FROM s.decided, chosen
+    """
+
+
+@query("op8_url_filter", _url_check())
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     rows = urls.judged(table(spark, folder, "pages"))
     return rows.select("page_id", "host", "path", "rule", "verdict")
