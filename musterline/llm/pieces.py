@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-KEPT_CHUNKS = 150_000
-KEPT_PAIRS = 150_000
+KEPT_CHUNKS = 200_000
+KEPT_PAIRS = 300_000
 LONGEST_KEPT = 64
 
 
