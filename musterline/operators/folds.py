@@ -1,29 +1,36 @@
 """Ordered folds: a running state per key, updated row by row in time order.
 
-Small keys are folded in one go. A key with more rows than ``max_rows`` is cut along its time
-column into pieces that are folded side by side. Each piece first starts from the empty state;
-its real starting state is the end state of the piece before it, so pieces whose starting state
-turns out different are folded again until nothing changes. The first piece is right from the
-beginning and correctness moves on by at least one piece per round, so the end result equals the
-sequential fold. States here forget quickly, and two or three rounds are the usual case.
+A key with more rows than ``max_rows`` is cut along its time column into pieces that are folded side
+by side. Each piece first starts from the empty state; its real starting state is the end state of the
+piece before it, so pieces whose starting state turns out different are folded again until nothing
+changes. The first piece is right from the beginning and correctness moves on by at least one piece per
+round, so the end result equals the sequential fold.
+
+What only names things is kept out of the comparison. A step may hold things that live on across a cut
+(tracks); inside a piece those it started with are known by their slot, and their names and order of
+creation are filled in afterwards by one pass over the ends of the pieces. So a thing that stays in view
+for many pieces costs no round. Only where the order of such things decided something (``leaned``) is
+a piece folded again if that order was guessed wrong.
 
 Inside a task rows are streamed in sort order; only the state is held, never a whole group.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
-from typing import Any, Protocol
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from musterline.cluster import cut_lineage, small_table, task_count
+from musterline.cluster import cut_lineage, discard, task_count
 
 MAX_ROWS_PER_PIECE = 1_000_000
 OUTPUT_ROWS = 10_000
+ENDS = "_began string, _order string, _state string, _slots string, _leaned boolean"
 ARROW_TYPES = {
     "string": pa.string(),
     "bigint": pa.int64(),
@@ -32,19 +39,41 @@ ARROW_TYPES = {
 }
 
 
-class Step(Protocol):
+class Step:
     """One fold. ``push`` takes (row, values of the ``reads`` columns) and returns finished rows as
-    (row, added values). ``close`` flushes at the end of a piece. ``dump`` must be canonical:
-    equal states give equal text."""
+    (row, added values). ``close`` flushes at the end of a piece. ``dump`` and ``load`` carry a whole
+    state over."""
 
     reads: list[str]
     adds: str
 
-    def start(self) -> Any: ...
-    def push(self, state: Any, row: tuple) -> Iterable[tuple[tuple, tuple]]: ...
-    def close(self, state: Any) -> Iterable[tuple[tuple, tuple]]: ...
-    def dump(self, state: Any) -> str: ...
-    def load(self, text: str) -> Any: ...
+    def start(self) -> Any:
+        raise NotImplementedError
+
+    def push(self, state: Any, row: tuple) -> Iterable[tuple[tuple, tuple]]:
+        raise NotImplementedError
+
+    def close(self, state: Any) -> Iterable[tuple[tuple, tuple]]:
+        return []
+
+    def dump(self, state: Any) -> str:
+        raise NotImplementedError
+
+    def load(self, text: str) -> Any:
+        raise NotImplementedError
+
+    def outline(self, state: Any) -> tuple[str, list[list]]:
+        """What later rows depend on, equal for equal states, and the things named beside it: for each
+        slot two numbers that name it and its place in the order of creation."""
+        return self.dump(state), []
+
+    def resume(self, text: str, slots: list[list]) -> Any:
+        """The state of an outline; a slot named (None, number) stands for what the piece began with."""
+        return self.load(text)
+
+    def leaned(self, state: Any) -> bool:
+        """Whether the order of things from before the piece has decided anything."""
+        return False
 
 
 def fold(
@@ -55,57 +84,75 @@ def fold(
     max_rows: int = MAX_ROWS_PER_PIECE,
 ) -> DataFrame:
     """Every row of ``rows`` with the columns ``step.adds``; ``order[0]`` is a bigint along which
-    large keys are cut, and rows that share its value stay together."""
+    large keys are cut, and rows that share its value stay together. The input is computed once."""
+    rows = cut_lineage(rows)
     along = order[0]
     sizes = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), F.min(along).alias("_from"), F.max(along).alias("_to")
     )
-    large = sizes.filter(F.col("_rows") > max_rows).select(
-        *keys,
-        F.col("_from"),
-        F.ceil((F.col("_to") - F.col("_from") + 1) * F.lit(float(max_rows)) / F.col("_rows")).alias("_span"),
+    span = F.ceil((F.col("_to") - F.col("_from") + 1) * F.lit(float(max_rows)) / F.col("_rows"))
+    cuts = cut_lineage(
+        sizes.filter(F.col("_rows") > max_rows).select(*keys, "_from", span.alias("_span"))
     )
-    if large.isEmpty():
-        return _run(_uncut(rows), None, keys, order, step, False)
-
-    copy = small_table(large)
-    cuts = large if copy is None else F.broadcast(copy)
     piece = F.floor((F.col(along) - F.col("_from")) / F.col("_span")).cast("bigint")
-    pieces = rows.join(cuts, keys).withColumn("_piece", piece).drop("_from", "_span")
-    pieces = cut_lineage(pieces.select(*rows.columns, "_piece"))
-    known = cuts.select(*keys) if copy is None else F.broadcast(copy.select(*keys))
-    small = _run(_uncut(rows.join(known, keys, "left_anti")), None, keys, order, step, False)
-    entries = _settled_entries(pieces, keys, order, step)
-    return small.unionByName(_run(pieces, entries, keys, order, step, False))
+    whole = [*rows.columns, F.coalesce(piece, F.lit(0)).cast("bigint").alias("_piece")]
+    entries = None
+    if not cuts.isEmpty():
+        entries = settled(rows.join(cuts, keys).select(*whole), keys, order, step)
+    return _run(rows.join(cuts, keys, "left").select(*whole), entries, keys, order, step, False)
 
 
-def _uncut(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_piece", F.lit(0).cast("bigint"))
-
-
-def _settled_entries(pieces: DataFrame, keys: list[str], order: list[str], step: Step) -> DataFrame:
+def settled(pieces: DataFrame, keys: list[str], order: list[str], step: Step) -> DataFrame:
     """The true starting state of every piece but the first of its key."""
     where = keys + ["_piece"]
     ends = cut_lineage(_run(pieces, None, keys, order, step, True))
     entries = cut_lineage(_entries(ends, keys))
-    stale = entries.filter(F.col("_state") != F.lit(step.dump(step.start())))
+    stale = entries.filter("_stale")
     while not stale.isEmpty():
-        redone = _run(pieces.join(stale.select(*where), where, "left_semi"), stale, keys, order, step, True)
-        fixed = redone.withColumnRenamed("_state", "_fixed")
-        ends = cut_lineage(
-            ends.join(fixed, where, "left").select(*where, F.coalesce("_fixed", "_state").alias("_state"))
-        )
-        before = entries.withColumnRenamed("_state", "_before")
+        again = pieces.join(stale.select(*where), where, "left_semi")
+        redone = cut_lineage(_run(again, stale.drop("_stale"), keys, order, step, True))
+        before, old = ends, entries
+        ends = cut_lineage(before.join(redone.select(*where), where, "left_anti").unionByName(redone))
         entries = cut_lineage(_entries(ends, keys))
-        stale = entries.join(before, where).filter(F.col("_state") != F.col("_before")).drop("_before")
-    return entries
+        for table in (before, redone, old):
+            discard(table)
+        stale = entries.filter("_stale")
+    discard(ends)
+    return entries.drop("_stale")
 
 
 def _entries(ends: DataFrame, keys: list[str]) -> DataFrame:
-    """The state each piece starts from. One row per piece of the few large keys."""
-    in_order = Window.partitionBy(*keys).orderBy("_piece")
-    handed = ends.select(*keys, "_piece", F.lag("_state").over(in_order).alias("_state"))
-    return handed.filter(F.col("_state").isNotNull())
+    """The state each piece starts from, its slots named, and whether the piece was folded from another
+    one. Reads one row per piece, in order."""
+    where = keys + ["_piece"]
+    placed = ends.repartition(task_count(ends.sparkSession), *keys).sortWithinPartitions(*where)
+    schema = StructType([ends.schema[c] for c in where] + StructType.fromDDL("_state string, _slots string, _stale boolean").fields)
+    width = len(keys)
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, text, names = None, None, []
+        for batch in batches:
+            out = []
+            for row in zip(*[batch.column(c).to_pylist() for c in where + ["_began", "_order", "_state", "_slots", "_leaned"]]):
+                began, used, state, slots, leaned = row[width + 1 :]
+                if row[:width] != key:
+                    key, names = row[:width], []
+                else:
+                    rank = {n: i for i, n in enumerate(sorted(range(len(names)), key=lambda n: names[n]))}
+                    order = [rank[n] for n in range(len(names))]
+                    stale = text != began or (leaned and order != json.loads(used))
+                    named = json.dumps([[*name, place] for name, place in zip(names, order)])
+                    out.append((*row[: width + 1], text, named, stale))
+                # A piece folded from another state may speak of slots that are not there; it comes again.
+                known = dict(enumerate(names))
+                names = [known.get(b, (0, b)) if a is None else (a, b) for a, b, _ in json.loads(slots)]
+                text = state
+            columns = list(zip(*out)) or [()] * len(schema)
+            types = [batch.schema.field(c).type for c in where] + [pa.string(), pa.string(), pa.bool_()]
+            arrays = [pa.array(list(c), t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return placed.mapInArrow(hand_on, schema)
 
 
 def _run(
@@ -116,22 +163,20 @@ def _run(
     step: Step,
     only_ends: bool,
 ) -> DataFrame:
-    """One pass over all pieces: the end state of each, or its rows with the added columns."""
+    """One pass over all pieces: where each began and ended, or its rows with the added columns."""
     where = keys + ["_piece"]
     kept = [c for c in rows.columns if c != "_piece"]
-    tagged = rows.withColumn("_state", F.lit(None).cast("string"))
+    nothing = F.lit(None).cast("string")
+    tagged = rows.withColumns({"_state": nothing, "_slots": nothing})
     if entries is not None:
-        tagged = tagged.unionByName(entries.select(*where, "_state"), allowMissingColumns=True)
+        tagged = tagged.unionByName(entries.select(*where, "_state", "_slots"), allowMissingColumns=True)
     placed = tagged.repartition(task_count(rows.sparkSession), *where).sortWithinPartitions(
         *where, F.col("_state").isNull(), *order
     )
-    if only_ends:
-        fields = [f for f in placed.schema.fields if f.name in where] + [StructField("_state", StringType())]
-        schema = StructType(sorted(fields, key=lambda f: (where + ["_state"]).index(f.name)))
-    else:
-        added = StructType.fromDDL(step.adds)
-        schema = StructType([rows.schema[c] for c in kept] + added.fields)
-    added_types = [(f.name, ARROW_TYPES[f.dataType.simpleString()]) for f in StructType.fromDDL(step.adds)]
+    told, came = (where, ENDS) if only_ends else (kept, step.adds)
+    added = StructType.fromDDL(came)
+    schema = StructType([rows.schema[c] for c in told] + added.fields)
+    added_types = [(f.name, ARROW_TYPES[f.dataType.simpleString()]) for f in added.fields]
     names = placed.columns
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,17 +184,28 @@ def _run(
         where_at = [seat[c] for c in where]
         kept_at = [seat[c] for c in kept]
         reads_at = [seat[c] for c in step.reads]
-        state_at = seat["_state"]
-        current, state, ready, arrow = None, None, [], None
+        state_at, slots_at = seat["_state"], seat["_slots"]
+        current, state, began, ready, arrow = None, None, None, [], None
 
         def finished(done):
             ready.extend(tuple(row[i] for i in kept_at) + tuple(extra) for row, extra in done)
 
+        def begin(text, slots):
+            if text is None:
+                empty = step.start()
+                return empty, (step.outline(empty)[0], "[]")
+            named = json.loads(slots)
+            order = json.dumps([place for *_, place in named])
+            if only_ends:
+                named = [[None, n, place] for n, (*_, place) in enumerate(named)]
+            return step.resume(text, named), (text, order)
+
         def end_piece():
             if current is not None:
                 done = step.close(state)
                 if only_ends:
-                    ready.append(current + (step.dump(state),))
+                    text, slots = step.outline(state)
+                    ready.append(current + began + (text, json.dumps(slots), step.leaned(state)))
                 else:
                     finished(done)
 
@@ -160,18 +216,15 @@ def _run(
             return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
         for batch in batches:
-            if arrow is None and only_ends:
-                fields = [(c, batch.schema.field(c).type) for c in where] + [("_state", pa.string())]
-                arrow = pa.schema(fields)
-            elif arrow is None:
-                arrow = pa.schema([(c, batch.schema.field(c).type) for c in kept] + added_types)
+            if arrow is None:
+                arrow = pa.schema([(c, batch.schema.field(c).type) for c in told] + added_types)
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for row in zip(*columns):
                 place = tuple(row[i] for i in where_at)
                 if place != current:
                     end_piece()
                     current = place
-                    state = step.load(row[state_at]) if row[state_at] is not None else step.start()
+                    state, began = begin(row[state_at], row[slots_at])
                 if row[state_at] is not None:
                     continue
                 done = step.push(state, (row, tuple(row[i] for i in reads_at)))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import T0, at, plain_decisions, plain_tracks
+from musterline.operators import folds
 from musterline.operators.debounce import current_events, debounce
 from musterline.operators.tracking import assign_tracks, track_spans
 from musterline.plans.identify import IdentifyStep, decide_faces
@@ -106,6 +107,49 @@ def test_tracks_agree_with_plain_python(spark, max_rows, every_frame):
         assert {k[1:]: v for k, v in got.items() if k[0] == camera} == expected
 
 
+def counted_passes(monkeypatch):
+    passes, plain = [], folds._run
+
+    def counting(*args):
+        passes.append(args[-1])
+        return plain(*args)
+
+    monkeypatch.setattr(folds, "_run", counting)
+    return passes
+
+
+@pytest.mark.parametrize("twins", [False, True])
+def test_tracks_that_never_end_settle_in_few_passes(spark, monkeypatch, twins):
+    """Posters in view throughout, of which the first seen is not the first listed, and a passer-by."""
+    passes = counted_passes(monkeypatch)
+    left, right = (0.0, 0.0, 80.0, 100.0), (300.0, 0.0, 380.0, 100.0)
+    rows = []
+    for f in range(240):
+        boxes = [right] if f < 3 else [left, left if twins else (0.0, 300.0, 80.0, 400.0), right]
+        if f % 50 == 7:
+            boxes.append((600.0, 0.0, 700.0, 90.0))
+        rows += [("cam", f, d, b, None) for d, b in enumerate(boxes)]
+    df = spark.createDataFrame([(c, f, d, at(f / 3), b) for c, f, d, b, _ in rows], DETECTED)
+    tracked = assign_tracks(df, TrackingSettings(), None, len(rows) // 24)
+    got = {(r.sequence, r.det_idx): r.track_id for r in tracked.collect()}
+    assert got == plain_tracks(frames_of(rows, "cam"))
+    assert len(passes) <= 4
+
+
+def test_equal_claims_follow_the_order_of_creation(spark):
+    """One box that overlaps two older tracks equally goes to the younger, also behind a cut."""
+    older, younger, between = (20.0, 0.0, 60.0, 40.0), (0.0, 0.0, 40.0, 40.0), (10.0, 0.0, 50.0, 40.0)
+    boxes = {0: [older], 1: [younger, (500.0, 0.0, 540.0, 40.0)], 12: [between], 30: [between]}
+    rows = [("cam", f, d, b, None) for f in range(40) for d, b in enumerate(boxes.get(f, [(900.0, 9.0, 940.0, 40.0)]))]
+    settings = TrackingSettings(max_age_frames=50)
+    df = spark.createDataFrame([(c, f, d, at(f / 3), b) for c, f, d, b, _ in rows], DETECTED)
+    outcomes = [
+        sorted((r.sequence, r.det_idx, r.track_id) for r in assign_tracks(df, settings, None, n).collect())
+        for n in (1_000_000, 5)
+    ]
+    assert outcomes[0] == outcomes[1]
+
+
 def two_frames(spark, *frames, settings=TrackingSettings(), total=None):
     rows = [("cam", f, d, at(f), b) for f, boxes in enumerate(frames) for d, b in enumerate(boxes)]
     df = spark.createDataFrame(rows, DETECTED)
