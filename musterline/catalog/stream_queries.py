@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from musterline.catalog.registry import cameras, detections, query, rounded, with_faces
 from musterline.catalog.scalar_queries import uuid_text
 from musterline.catalog.walks import ALL_SHOTS, DECISIONS, INSIDE, LIVE_SHOTS, TRACKS
+from musterline.cluster import scratch_path
 from musterline.operators import profile as profiles
 from musterline.operators import sampling, tracking
 from musterline.operators.debounce import current_events, debounce
@@ -20,6 +21,7 @@ from musterline.streaming import jobs, stateful
 HOUR_FPS = 1 / 3600
 MOVING = SamplingSettings(motion_gate_enabled=True)
 DEBOUNCE_SECONDS = 86_400
+CUT_ROWS = 200
 
 
 @query(
@@ -164,6 +166,12 @@ def consecutive_overlaps(g):
 _TRACKED = TRACKS + "SELECT camera_id, sequence, det_idx, track_id FROM tracked"
 
 
+@query("G01_track_assignment_large_keys_cut", INSIDE + LIVE_SHOTS + _TRACKED, ("detections", "cameras"))
+def track_assignment_cut(g):
+    inside = roi_filter(detections(g), cameras(g))
+    return tracking.assign_tracks(inside, max_rows=CUT_ROWS).select("camera_id", "sequence", "det_idx", "track_id")
+
+
 @query("G01_track_assignment", INSIDE + LIVE_SHOTS + _TRACKED, ("detections", "cameras"))
 def track_assignment(g):
     inside = roi_filter(detections(g), cameras(g))
@@ -303,6 +311,38 @@ def latest_per_tick_stream(g):
     return written.select("camera_id", "tick_start", "sequence", "dropped")
 
 
+@query(
+    "G10_late_frames_stream",
+    """WITH parts AS (SELECT event_type AS camera_id, epoch_us(ts) AS us, event_id % 3 AS part FROM events),
+         fresh AS (SELECT part + 1 AS part, max(max(us)) OVER (ORDER BY part) // 1000 * 1000 - 86400000000 AS mark FROM parts GROUP BY part)
+       SELECT camera_id, count(*) AS frames_seen,
+              count(*) FILTER (WHERE (us // 3600000000 + 1) * 3600000000 <= coalesce(mark, 0)) AS late
+       FROM parts LEFT JOIN fresh USING (part) GROUP BY 1""",
+)
+def late_frames_stream(g):
+    """All events as frames that arrive in three parts, each of which reaches over the whole time."""
+    events = g.table("events").select(
+        F.col("event_type").alias("camera_id"),
+        F.col("event_id").alias("sequence"),
+        F.col("ts").cast("timestamp").alias("captured_at"),
+        F.lit(480).alias("height"),
+        F.lit(640).alias("width"),
+    )
+    arrived = scratch_path(g.spark, "arrived")
+    sinks = {name: (scratch_path(g.spark, name), scratch_path(g.spark, f"{name}-progress")) for name in ("late-ticks", "seen")}
+    for part in range(3):
+        events.filter(F.col("sequence") % 3 == part).write.mode("append").parquet(arrived)
+        frames = g.spark.readStream.schema(events.schema).parquet(arrived)
+        streams = (stateful.stream_latest_per_tick(frames, HOUR_FPS, "1 day"), stateful.stream_frames_seen(frames))
+        for stream, (sink, progress) in zip(streams, sinks.values()):
+            jobs.run_available(stream, sink, progress, "update")
+    ticks, seen = (
+        jobs.written(g.spark, stream, sink, keys)
+        for stream, (sink, _), keys in zip(streams, sinks.values(), (["camera_id", "tick_start"], ["camera_id"]))
+    )
+    return stateful.late_frames(ticks, seen)
+
+
 def _settings(window: float = 3 * 3600.0) -> PipelineSettings:
     return PipelineSettings(
         quality=QualitySettings(min_detector_score=0.45, min_face_height_px=70, max_yaw_ratio=1.0),
@@ -333,6 +373,16 @@ def decisions(g):
     return decided.select("camera_id", "sequence", "det_idx", "track_id", "decision", "identity_changed")
 
 
+@query(
+    "P09_G03_G06_G07_decisions_large_keys_cut",
+    DECISIONS + "SELECT camera_id, sequence, det_idx, track_id, decision, identity_changed FROM decided",
+    _FACE_VIEWS,
+)
+def decisions_cut(g):
+    decided = decide_faces(_judged(g), _settings(), max_rows=CUT_ROWS)
+    return decided.select("camera_id", "sequence", "det_idx", "track_id", "decision", "identity_changed")
+
+
 def _identified(g, **options):
     faces = with_faces(detections(g), g.table("embeddings"))
     return identify(faces, _gallery(g), cameras(g), _settings(), **options)

@@ -29,6 +29,11 @@ def replayed(
     only the latest version of each."""
     sink = scratch_path(spark, name)
     run_available(stream, sink, scratch_path(spark, f"{name}-progress"), mode)
+    return written(spark, stream, sink, keys)
+
+
+def written(spark: SparkSession, stream: DataFrame, sink: str, keys: list[str] | None = None) -> DataFrame:
+    """What ``run_available`` has put into ``sink``; with ``keys`` the latest version of each."""
     if keys is None:
         return spark.read.schema(stream.schema).parquet(sink)
     log = spark.read.schema(T.StructType(stream.schema.fields).add("batch_id", T.LongType())).parquet(sink)

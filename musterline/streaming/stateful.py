@@ -99,7 +99,7 @@ def stream_decisions(judged: DataFrame, settings: TrackingSettings = TrackingSet
 
 def stream_latest_per_tick(frames: DataFrame, fps: float, lateness: str = "10 seconds") -> DataFrame:
     """The newest frame per camera and tick. A tick is final once the watermark has passed it;
-    frames that come later than ``lateness`` are dropped by the watermark."""
+    frames that come later than ``lateness`` are dropped by the watermark; ``late_frames`` counts them."""
     newest = F.max_by(
         F.struct("sequence", "captured_at", "height", "width"), F.struct("captured_at", "sequence")
     )
@@ -109,3 +109,16 @@ def stream_latest_per_tick(frames: DataFrame, fps: float, lateness: str = "10 se
         .agg(newest.alias("_newest"), (F.count(F.lit(1)) - 1).alias("dropped"))
     )
     return ticks.select("camera_id", F.col("tick.start").alias("tick_start"), "_newest.*", "dropped")
+
+
+def stream_frames_seen(frames: DataFrame) -> DataFrame:
+    """How many frames of each camera have come, late ones too: one number of state per camera."""
+    return frames.groupBy("camera_id").agg(F.count(F.lit(1)).alias("frames_seen"))
+
+
+def late_frames(ticks: DataFrame, seen: DataFrame) -> DataFrame:
+    """Frames per camera that came too late for any tick; both inputs as written in update mode, the
+    last version of each row."""
+    taken = ticks.groupBy("camera_id").agg(F.sum(F.col("dropped") + 1).alias("_taken"))
+    late = F.col("frames_seen") - F.coalesce("_taken", F.lit(0))
+    return seen.join(taken, "camera_id", "left").select("camera_id", "frames_seen", late.alias("late"))
