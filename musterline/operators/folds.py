@@ -21,7 +21,9 @@ import json
 from collections.abc import Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -76,6 +78,15 @@ class Step:
         return False
 
 
+class ColumnStep(Step):
+    """A step that takes a batch of sorted rows at once. ``act`` gets which rows start a piece, the states
+    that entry rows stand for, and the ``reads`` columns; it returns the added columns, and a function from
+    a row's position to the state after it."""
+
+    def act(self, starts: np.ndarray, entered: dict[int, Any], reads: pa.Table) -> tuple[list[pa.Array], Any]:
+        raise NotImplementedError
+
+
 def fold(
     rows: DataFrame,
     keys: list[str],
@@ -178,6 +189,8 @@ def _run(
     schema = StructType([rows.schema[c] for c in told] + added.fields)
     added_types = [(f.name, ARROW_TYPES[f.dataType.simpleString()]) for f in added.fields]
     names = placed.columns
+    if isinstance(step, ColumnStep):
+        return placed.mapInArrow(_by_columns(step, where, kept, only_ends, schema.names), schema)
 
     def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seat = {name: i for i, name in enumerate(names)}
@@ -237,3 +250,58 @@ def _run(
             yield flush()
 
     return placed.mapInArrow(pass_over, schema)
+
+
+def _by_columns(step: ColumnStep, where: list[str], kept: list[str], only_ends: bool, names: list[str]):
+    """The same pass for a step that works on columns. Between batches only the last state is held; it goes
+    before the rows that follow as an entry of their piece."""
+
+    def changes(column: pa.ChunkedArray) -> np.ndarray:
+        here, before = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+        other = pc.fill_null(pc.not_equal(here, before), False)
+        return pc.or_(other, pc.not_equal(pc.is_null(here), pc.is_null(before))).to_numpy()
+
+    def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, types = None, None  # held: where the last piece is, what it began with, its state
+
+        def ends(rows):
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), types)]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            types = [batch.schema.field(c).type for c in where] + [pa.string()] * 4 + [pa.bool_()]
+            if held is not None:
+                fixed = dict(zip([*where, "_state", "_slots"], [*held[0], held[2], "[]"]))
+                row = [pa.array([fixed.get(f.name)], f.type) for f in batch.schema]
+                table = pa.concat_tables([pa.Table.from_arrays(row, schema=batch.schema), table])
+            table = table.combine_chunks()
+            starts = np.ones(len(table), dtype=bool)
+            starts[1:] = np.logical_or.reduce([changes(table.column(c)) for c in where])
+            is_row = pc.is_null(table.column("_state"))
+            texts = {int(i): table.column("_state")[int(i)].as_py() for i in np.flatnonzero(~is_row.to_numpy())}
+            entered = {i: step.load(text) for i, text in texts.items()}
+            added, state_after = step.act(starts, entered, table.select(step.reads))
+            firsts = np.flatnonzero(starts)
+            lasts = np.append(firsts[1:], len(table)) - 1
+            done = []
+            for first, last in zip(firsts, lasts) if only_ends else [(firsts[-1], lasts[-1])]:
+                place = tuple(table.column(c)[int(first)].as_py() for c in where)
+                began = texts.get(int(first), step.dump(step.start()))
+                if first == 0 and held is not None and place == held[0]:
+                    began = held[1]
+                done.append((place, began, step.dump(state_after(int(last)))))
+            if only_ends:
+                # A piece that had ended with the batch before is a lone entry here, and ends now.
+                if len(done) > 1:
+                    yield ends([(*p, b, "[]", text, "[]", False) for p, b, text in done[:-1]])
+            else:
+                columns = [table.column(c) for c in kept] + added
+                yield from pa.Table.from_arrays(columns, names=names).filter(is_row).combine_chunks().to_batches()
+            held = done[-1]
+        if only_ends and held is not None:
+            yield ends([(*held[0], held[1], "[]", held[2], "[]", False)])
+
+    return pass_over

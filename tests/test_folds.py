@@ -2,12 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import T0, at, plain_decisions, plain_tracks
 from musterline.operators import folds
-from musterline.operators.debounce import current_events, debounce
+from musterline.operators.debounce import DebounceStep, current_events, debounce
 from musterline.operators.tracking import assign_tracks, track_spans
 from musterline.plans.identify import IdentifyStep, decide_faces
 from musterline.settings import PipelineSettings, TrackingSettings
@@ -59,6 +59,44 @@ def test_cut_keys_debounce_like_whole_ones(spark, max_rows):
     assert [(r.action, r.event_id) for r in whole] == [(r.action, r.event_id) for r in cut]
 
 
+@pytest.mark.parametrize("window", [0.0, 30.0])
+def test_columns_and_rows_debounce_alike(window):
+    """The step by columns, in batches of any size and with missing confidences, against the step by rows."""
+    rng = random.Random(5)
+    step, rows = DebounceStep(window), []
+    for piece in range(30):
+        t = rng.randrange(10**9)
+        for _ in range(rng.randint(1, 25)):
+            t += rng.choice([0, 1, 7, 29, 30, 31]) * 1_000_000
+            rows.append((piece, t, rng.choice([None, rng.random(), 0.5]), len(rows), rng.choice([None, False, rng.random() < 0.2])))
+    for size in (1, 2, 7, 1000):
+        for only_ends in (False, True):
+            names = step.reads if only_ends is False else []
+            out = ["_piece", "_began", "_order", "_state", "_slots", "_leaned"] if only_ends else [*names, "action", "emitted_at", "emitted_by"]
+            run = folds._by_columns(step, ["_piece"], names, only_ends, out)
+            schema = pa.schema(
+                [("_piece", pa.int64()), ("at", pa.int64()), ("confidence", pa.float64()), ("sighting_id", pa.int64()),
+                 ("identity_changed", pa.bool_()), ("_state", pa.string()), ("_slots", pa.string())]
+            )
+            whole = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*[(*r, None, None) for r in rows]), schema)], schema=schema)
+            got = pa.Table.from_batches(list(run(iter(whole.to_batches(max_chunksize=size))))).to_pylist()
+            if only_ends:
+                assert [g["_piece"] for g in got] == list(range(30)) and {g["_began"] for g in got} == {"[]"}
+            expected, ends, state = [], [], None
+            for i, (piece, *reads) in enumerate(rows):
+                if not i or rows[i - 1][0] != piece:
+                    state = step.start()
+                reads = [reads[0], float("nan") if reads[1] is None else reads[1], *reads[2:]]
+                ((_, told),) = step.push(state, (None, reads))
+                expected.append(told)
+                if i + 1 == len(rows) or rows[i + 1][0] != piece:
+                    ends.append([state[0], None if state[1] != state[1] else state[1], state[2]])
+            if only_ends:
+                assert [step.load(g["_state"]) for g in got] == ends
+            else:
+                assert [(g["action"], g["emitted_at"], g["emitted_by"]) for g in got] == expected
+
+
 def clip(seed, frames=120, people=4, cameras=("north", "south")):
     """Boxes that drift, vanish and cross, some of them standing still throughout."""
     rng = random.Random(seed)
