@@ -21,13 +21,14 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from musterline.cluster import cut_lineage, join_small, task_count
+from musterline.llm import near_copies
+from musterline.llm.tables import row_key
 from musterline.operators.grouping import connected_components
 
 SHINGLE_WORDS = 4
@@ -198,23 +199,16 @@ def as_hex(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def one_of_each(documents: DataFrame, slice_rows: int = SLICE) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with its columns as they were.
+def one_of_each(documents: DataFrame, slice_rows: int = near_copies.SLICE) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id, with its columns as they were.
 
-    Null ids come last; of equal ids the smallest text is kept. The survivors are chosen by partial
-    aggregation, so a component that holds much of the table is never gathered.
+    The groups are those of ``near_copies`` (five-word shingles, Jaccard similarity 0.8 or more), which the
+    fingerprints of this module are too coarse for. Null ids come last; of equal ids the smallest text is kept.
+    The survivors are chosen by partial aggregation, so a group that holds much of the table is never gathered.
     """
-    _, tied = _tied(documents, slice_rows)
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
-
-    @F.pandas_udf("bigint")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_of(t) for t in texts], dtype="int64")
-
-    text = F.coalesce(F.col("_row.text"), F.lit("")).cast("binary")
-    # Not to be repeated in a filter, which the join would otherwise infer and move below.
-    once = prints.asNondeterministic()
-    packed = documents.select(row).withColumn("fingerprint", once(text)).join(tied, "fingerprint")
+    keyed = documents.select(*row_key("doc_id", "text"), row)
+    packed = keyed.join(near_copies.tied(documents, slice_rows), near_copies.KEY)
     order = F.struct(F.col("_row.doc_id").isNull(), F.col("_row.doc_id"), F.col("_row.text"))
     kept = packed.groupBy("component").agg(F.min_by("_row", order).alias("_row"))
     return kept.select(*[F.col("_row")[c].alias(c) for c in documents.columns])

@@ -10,7 +10,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from musterline.llm import decontamination, fingerprints, lines, pieces, queries, simhash, suffixes
+from musterline.llm import decontamination, fingerprints, lines, near_copies, pieces, queries, simhash, suffixes
 from tests.llm.samples import CLASHING, FIELDS, awkward, frame, prose
 
 MODEL = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
@@ -165,6 +165,51 @@ def test_one_of_each_keeps_the_smallest_id_and_the_columns(docs, none):
     assert simhash.one_of_each(none).count() == 0 and simhash.components(none).count() == 0
 
 
+def plain_sets(text):
+    words = (text or "").lower().split()
+    size = min(5, len(words))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if words else set()
+
+
+def plain_near(rows):
+    """The ids kept: the smallest of each group that pairs of similarity 0.8 or more connect."""
+    sets, group = [plain_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                group[find(i)] = find(j)
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        least[find(n)] = min(i, least.get(find(n), i))
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("slice_rows", [near_copies.SLICE, 2])
+def test_one_of_each_drops_all_near_copies(spark, slice_rows):
+    common, rows = prose(99, 30), []
+    for n in range(12):
+        words = prose(300 + n, 150).split()
+        rows.append((n * 100, " ".join(words)))
+        for k in range(1, 7):  # every changed word changes five shingles
+            edited = words[:]
+            for place in range(k):
+                edited[10 + 20 * place + n] = f"edit{n}x{k}x{place}"
+            rows.append((n * 100 + k, " ".join(edited)))
+    rows += [(5000 + n, common + " " + prose(700 + n, 40)) for n in range(15)]  # a common passage, else different
+    chain = prose(800, 200).split()
+    rows += [(6000 + n, " ".join(chain[6 * n : 6 * n + 100])) for n in range(12)]  # each like the next ones only
+    rows += [(7000, "a b c"), (7001, "A  b c"), (7002, "a b d"), (7003, ""), (7004, " ")]
+    kept = simhash.one_of_each(frame(spark, rows).repartition(5), slice_rows)
+    assert sorted(r.doc_id for r in kept.collect()) == plain_near(rows)
+    assert not {1, 2, 3, 6001, 6011, 7001, 7004} & set(plain_near(rows)) and {5000, 5014, 7002} <= set(plain_near(rows))
+
+
 # Repeated byte strings
 
 
