@@ -8,8 +8,9 @@ at neighbours. The sort is split and thinned first, without loss:
   Equal windows have equal anchors at equal places. Consecutive windows with one anchor form a segment; only
   segments whose anchor occurs again can hold repeated windows.
 * Equal segments are copies. Their windows are all repeated, and one of them stands for all in the sort.
-* What is left is dealt by anchor, so equal windows meet in one task. An anchor with more than
-  ``SEGMENTS`` different segments is dealt further by a hash of each window.
+* What is left is dealt by anchor, so equal windows meet in one task. Under an anchor with more than
+  ``SEGMENTS`` different segments, windows are counted by a hash of their bytes; two of each repeated one go
+  on, alone and dealt by that hash, and what the sort finds of them holds for all windows of the hash.
 
 In a task, suffixes are put in order by their first eight bytes, and ties by a mergesort whose comparison
 finds the longest common extension by binary search over prefix polynomial hashes (modulo 2**64, with random
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from musterline.cluster import cut_lineage, join_small, task_count
+from musterline.cluster import cut_lineage, task_count
 from musterline.llm.tables import row_key
 
 LENGTH = 200
@@ -219,40 +220,54 @@ class Suffixes:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each segment to be sorted. Where an anchor is dealt to several parts, a segment goes to
-    those its windows hash to, with the windows it has there."""
-    schema = pa.schema(
-        [("anchor", pa.int64()), ("part", pa.int32()), ("segment", pa.int64()), ("bytes", pa.binary()), ("windows", pa.binary())]
-    )
+    """The bytes to be sorted: those of whole segments, or of single windows under a hot anchor."""
+    schema = pa.schema([("anchor", pa.int64()), ("part", pa.int32()), ("segment", pa.int64()), ("bytes", pa.binary())])
     for batch in batches:
         rows = []
         for text, segments in zip(batch.column("text").to_pylist(), batch.column("segments").to_pylist()):
-            for s in segments:
-                data, parts = text[s["first"] : s["last"] + LENGTH], s["parts"]
-                if parts == 1:
-                    rows.append((s["anchor"], 0, s["segment"], data, None))
-                    continue
-                part = mixed(Prefixes(np.frombuffer(data, dtype=np.uint8)).all_spans(LENGTH)) % np.uint64(parts)
-                for p in np.unique(part).tolist():
-                    windows = np.flatnonzero(part == p).astype(np.uint8).tobytes()
-                    rows.append((s["anchor"], p, s["segment"], data, windows))
+            rows.extend((s["anchor"], s["part"], s["segment"], text[s["first"] : s["last"] + LENGTH]) for s in segments)
         columns = zip(*rows) if rows else [[]] * len(schema)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(anchor, segment, at, window) of every window of the segments, ``window`` a hash of its bytes and of its
+    anchor's place in it."""
+    names = ["anchor", "segment", "at", "window"]
+
+    def batch_of(parts):
+        hashes, *others = (np.concatenate(c) for c in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*others, hashes.view(np.int64))], names=names)
+
+    for batch in batches:
+        parts, size = [], 0
+        for text, segments in zip(batch.column("text").to_pylist(), batch.column("segments").to_pylist()):
+            for s in segments:
+                hashes = [xxhash.xxh3_64_intdigest(text[i : i + LENGTH], s["place"] - i) for i in range(s["first"], s["last"] + 1)]
+                count = len(hashes)
+                where = np.full(count, s["anchor"]), np.full(count, s["segment"]), np.arange(count, dtype=np.int16)
+                parts.append((np.array(hashes, np.uint64), *where))
+                size += count
+                if size > 100_000:
+                    yield batch_of(parts)
+                    parts, size = [], 0
+        if parts:
+            yield batch_of(parts)
+
+
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of repeated windows (from, to) of each segment; rows come sorted by anchor and part."""
     held: list[tuple] = []
     group, size = None, 0
     for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("anchor", "part", "segment", "bytes", "windows"))
-        for anchor, part, segment, data, windows in zip(*columns):
+        columns = (batch.column(c).to_pylist() for c in ("anchor", "part", "segment", "bytes"))
+        for anchor, part, segment, data in zip(*columns):
             if group != (anchor, part):
                 if size >= CHUNK_BYTES:
                     yield _repeated_windows(held)
                     held, size = [], 0
                 group = (anchor, part)
-            held.append((anchor, segment, data, windows))
+            held.append((anchor, segment, data))
             size += len(data)
     if held:
         yield _repeated_windows(held)
@@ -262,12 +277,7 @@ def _repeated_windows(held: list[tuple]) -> pa.RecordBatch:
     data = b"".join(h[2] for h in held)
     ends = np.cumsum([len(h[2]) for h in held])
     begins = ends - [len(h[2]) for h in held]
-    starts = np.concatenate(
-        [
-            b + (np.arange(len(h[2]) - LENGTH + 1) if h[3] is None else np.frombuffer(h[3], np.uint8).astype(np.int64))
-            for b, h in zip(begins, held)
-        ]
-    )
+    starts = np.concatenate([b + np.arange(len(h[2]) - LENGTH + 1) for b, h in zip(begins, held)])
     found = Suffixes(data, starts).repeated()
     whose = np.searchsorted(ends, found, side="right")
     opens = np.concatenate([[True], (np.diff(found) != 1) | (np.diff(whose) != 0)]) if len(found) else np.zeros(0, bool)
@@ -282,6 +292,12 @@ def _repeated_windows(held: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _gathered(rows: DataFrame, segments: DataFrame, more: str) -> DataFrame:
+    """The texts of ``segments``, each with the segments to be taken from it."""
+    own = F.collect_list(F.struct("anchor", "segment", "first", "last", more)).alias("segments")
+    return rows.join(segments.groupBy(*KEY).agg(own), KEY).select("text", "segments")
+
+
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """The rows as (_k1, _k2, doc_id, text binary) with ``spans``: covered bytes as (start, end), unmerged,
     null where nothing is covered."""
@@ -294,22 +310,38 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     # A table of its own, as only a join of two plain shuffles has its hot anchors split.
     again = cut_lineage(again.filter("n > 1").select("anchor", "mixed"))
     open_ = cut_lineage(found.join(again, "anchor"))
-    one = [F.first(c).alias(c) for c in (*KEY, "first", "last", "mixed")]
+    one = [F.first(c).alias(c) for c in (*KEY, "first", "last", "place", "mixed")]
     kinds = cut_lineage(open_.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), *one))
     copied = kinds.filter("n > 1").select(
         "anchor", "segment", F.lit(0).alias("from"), (F.col("last") - F.col("first")).alias("to")
     )
-    to_sort = kinds.filter("mixed")
-    hot = to_sort.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / SEGMENTS).cast("int").alias("parts")).filter("parts > 1")
-    to_sort = join_small(to_sort, hot, ["anchor"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    wanted = to_sort.groupBy(*KEY).agg(
-        F.collect_list(F.struct("anchor", "segment", "first", "last", "parts")).alias("segments")
+    to_sort = kinds.filter("mixed").select("anchor", "segment", *KEY, "first", "last", "place")
+    hot = to_sort.groupBy("anchor").count().filter(F.col("count") > SEGMENTS)
+    hot = cut_lineage(hot.select("anchor", F.ceil(F.col("count") * (LENGTH - GRAM + 1) / SEGMENTS).cast("int").alias("parts")))
+    to_sort, of_hot = to_sort.join(hot, "anchor", "left_anti"), cut_lineage(to_sort.join(hot.select("anchor"), "anchor"))
+
+    # Under a hot anchor equal windows are counted, and two of each are sorted and compared for all.
+    windows = _gathered(rows, of_hot, "place").mapInArrow(_windows, "anchor bigint, segment bigint, at smallint, window bigint")
+    windows = cut_lineage(windows)
+    one = F.struct("segment", "at")
+    again = windows.groupBy("anchor", "window").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+    again = cut_lineage(again.filter("low <> high"))
+    two = again.select("anchor", "window", F.explode(F.array("low", "high")).alias("w")).select("anchor", "window", "w.*")
+    part = F.pmod(F.xxhash64("window"), F.col("parts")).cast("int")
+    two = two.join(of_hot, ["anchor", "segment"]).join(hot, "anchor").select(
+        "anchor", F.col("window").alias("segment"), *KEY, (F.col("first") + F.col("at")).alias("first"), part.alias("part")
     )
-    cut = rows.join(wanted, KEY).select(*KEY, "doc_id", "text", "segments")
-    slices = cut.mapInArrow(_slices, "anchor bigint, part int, segment bigint, bytes binary, windows binary")
+    two = two.withColumn("last", F.col("first"))
+    to_sort = to_sort.drop("place").withColumn("part", F.lit(0)).unionByName(two)
+    slices = _gathered(rows, to_sort, "part").mapInArrow(_slices, "anchor bigint, part int, segment bigint, bytes binary")
     slices = slices.repartition(task_count(documents.sparkSession), "anchor", "part").sortWithinPartitions("anchor", "part")
-    matched = slices.mapInArrow(_sorted, "anchor bigint, segment bigint, from int, to int")
-    marks = copied.unionByName(matched)
+    matched = cut_lineage(slices.mapInArrow(_sorted, "anchor bigint, segment bigint, from int, to int"))
+    same = cut_lineage(matched.join(hot, "anchor", "left_semi").select("anchor", F.col("segment").alias("window")).distinct())
+    # Windows of one segment are less than LENGTH apart, so what they cover is one span.
+    marked = windows.join(same, ["anchor", "window"]).groupBy("anchor", "segment").agg(
+        F.min("at").cast("int").alias("from"), F.max("at").cast("int").alias("to")
+    )
+    marks = copied.unionByName(matched.join(hot, "anchor", "left_anti")).unionByName(marked)
     covered = open_.join(marks, ["anchor", "segment"]).select(
         *KEY,
         F.struct(

@@ -239,6 +239,26 @@ def test_repeated_bytes(spark, docs, rows, monkeypatch, hot):
     assert Counter((r.doc_id, bytes(r.kept), tuple((s.start, s.end) for s in r.removed)) for r in found) == want
 
 
+def test_a_passage_in_many_surroundings_is_sorted_twice_at_most(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffixes, "SEGMENTS", 2)
+    passage, seen, plain = prose(30, 60), str(tmp_path), suffixes._sorted
+    rows = [(n, prose(40 + n, 30) + " " + passage + " " + prose(200 + n, 30)) for n in range(40)]
+
+    def counted(batches):
+        whole = list(batches)
+        groups = Counter(r for b in whole for r in zip(b.column("anchor").to_pylist(), b.column("part").to_pylist()))
+        if groups:
+            with open(f"{seen}/{max(groups.values())}", "w"):
+                pass
+        return plain(iter(whole))
+
+    monkeypatch.setattr(suffixes, "_sorted", counted)
+    found = suffixes.without_repeats(frame(spark, rows)).collect()
+    want = Counter((i, k, tuple(r)) for (i, _), (k, r) in zip(rows, plain_suffixes([t for _, t in rows], 200)))
+    assert Counter((r.doc_id, bytes(r.kept), tuple((s.start, s.end) for s in r.removed)) for r in found) == want
+    assert 0 < max(int(f.name) for f in tmp_path.iterdir()) <= 12  # it stands in 40 texts
+
+
 def test_suffix_order_is_that_of_the_bytes():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, 3000).astype(np.uint8).tobytes() + b"ab" * 500 + b"a" * 400
