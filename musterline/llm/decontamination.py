@@ -21,7 +21,8 @@ from musterline.llm.tables import row_key
 
 WINDOW = 10
 GRAM = 6
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 100_000  # of at most some 40 bytes each
+ITEM = ["_i1", "_i2"]
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,13 +58,19 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_h", F.transform("words", lambda w: F.xxhash64(w)))
 
 
-def item_fingerprints(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, size, hash, at): the grams an item is found by, with their word positions.
-
-    ``size`` is the item's window length: ten, or all its words where there are fewer.
-    """
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(_i1, _i2, item_id, words) of the distinct items that can match."""
     items = benchmark.filter(F.col("item_id").isNotNull())
     items = items.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0).distinct()
+    return items.select(*[k.alias(i) for k, i in zip(row_key("item_id", "words"), ITEM)], "item_id", "words")
+
+
+def item_fingerprints(items: DataFrame) -> DataFrame:
+    """(_i1, _i2, size, hash, at): the grams an item is found by, with their word positions.
+
+    ``size`` is the item's window length: ten, or all its words where there are fewer. Rows have a fixed
+    width, whatever the item's length, so that a bound on their number bounds their bytes.
+    """
     items = _hashed(items).withColumn("_g", _grams("_h", GRAM))
     reach = WINDOW - GRAM + 1
     items = items.withColumn("_m", _minima("_g", reach))
@@ -78,7 +85,7 @@ def item_fingerprints(benchmark: DataFrame) -> DataFrame:
     alone = F.array(F.struct(whole.alias("hash"), F.lit(0).alias("at")))
     found_by = F.explode(F.when(F.size("words") < WINDOW, alone).otherwise(chosen)).alias("_f")
     size = F.least(F.size("words"), F.lit(WINDOW)).alias("size")
-    return items.select("item_id", "words", size, found_by).select("item_id", "words", "size", "_f.*")
+    return items.select(*ITEM, size, found_by).select(*ITEM, "size", "_f.*")
 
 
 def _join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -89,7 +96,8 @@ def _join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFra
 
 def hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows as (_k1, _k2, doc_id, n_words), and per key the hit words and items where there are any."""
-    prints = cut_lineage(item_fingerprints(benchmark))
+    items = cut_lineage(benchmark_items(benchmark))
+    prints = cut_lineage(item_fingerprints(items))
     short = [r.size for r in prints.select("size").distinct().collect() if r.size < WINDOW]  # nine at most
     rows = documents.select(*row_key("doc_id", "text"), "doc_id", words_of(F.col("text")).alias("words"))
     rows = _hashed(rows).withColumn("_g", _grams("_h", GRAM))
@@ -112,10 +120,10 @@ def hits(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFra
     places = grams[0]
     for more in grams[1:]:
         places = places.unionByName(more)
-    found = _join(places, prints.select("hash", "item_id", "size", "at", "words"), ["hash"], "inner")
+    found = _join(places, prints.select("hash", *ITEM, "size", "at"), ["hash"], "inner")
     shift = (F.col("_at") - F.col("at")).alias("shift")
-    diagonals = found.select("_k1", "_k2", "item_id", "size", F.col("words").alias("item_words"), shift).distinct()
-    along = diagonals.join(texts, ["_k1", "_k2"])
+    diagonals = cut_lineage(found.select("_k1", "_k2", *ITEM, "size", shift).distinct())
+    along = diagonals.join(items.withColumnRenamed("words", "item_words"), ITEM).join(texts, ["_k1", "_k2"])
     first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(
         F.size("item_words") - F.col("size"), F.size("words") - F.col("size") - F.col("shift")
     )

@@ -333,6 +333,23 @@ def test_contamination(spark, docs, rows):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, clean))
 
 
+def test_long_items_stay_out_of_what_the_driver_holds(spark, docs, rows, monkeypatch):
+    long = prose(5, 20_000)  # the text of document 16
+    items = [(1, long), (2, prose(6, 3000)), (2, " ".join(long.split()[50:57])), (3, prose(2, 90))]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    small, widths = decontamination.small_table, []
+
+    def measured(df, most):
+        widths.append({f.dataType.simpleString() for f in df.schema})
+        return small(df, most)
+
+    monkeypatch.setattr(decontamination, "small_table", measured)
+    found = decontamination.contamination(docs, benchmark).collect()
+    got = Counter((r.doc_id, r.n_words, tuple(r.hit_words), tuple(r["items"])) for r in found)
+    assert got == plain_hits(rows, items)
+    assert widths and all(w <= {"bigint", "int"} for w in widths)
+
+
 def test_contamination_without_rows(none, docs, spark):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.contamination(none, nothing).count() == 0
