@@ -13,12 +13,14 @@ from musterline.llm import (
     decontamination,
     fingerprints,
     lines,
+    merkle,
     pieces,
     quality,
     simhash,
     suffixes,
     token_files,
     urls,
+    variants,
 )
 from musterline.llm.tables import bound_batches, table
 
@@ -275,3 +277,87 @@ def _url_check() -> str:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     rows = urls.judged(table(spark, folder, "pages"))
     return rows.select("page_id", "host", "path", "rule", "verdict")
+
+
+CRC_TABLE_SQL = """crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n))"""
+
+
+def crc32_sql(text: str) -> str:
+    """The crc32 of a text of code points below 2048, with the list ``t`` of ``CRC_TABLE_SQL`` at hand."""
+    utf8 = f"""flatten(list_transform(string_split({text}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)]
+        ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END))"""
+    return f"xor(4294967295, list_reduce({utf8}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+
+
+@query(
+    "op11_spelling_variants",
+    f"""
+    WITH RECURSIVE {CRC_TABLE_SQL},
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text,
+        '[A-Za-z\u00C0-\u00FF]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL),
+    hashed AS (SELECT run, n, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crc),
+    cut AS (SELECT n, CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+    words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    less AS MATERIALIZED (SELECT DISTINCT word, i, substring(word, 1, i) || substring(word, i + 2) AS rest
+        FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+    one_way AS (SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND length(a.word) = length(b.word) AND a.word <> b.word
+        UNION SELECT a.word, b.word FROM less a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word FROM less a JOIN words b ON a.rest = b.word),
+    near AS (SELECT o.word, count(*) AS n_near, min({{'m': -n, 'w': near}}) AS best FROM one_way o JOIN words w ON o.near = w.word GROUP BY o.word),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 10 * w.n THEN best.w END AS form,
+        CASE WHEN -best.m >= 10 * w.n THEN -best.m END AS form_n FROM words w LEFT JOIN near USING (word)),
+    chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+    ends AS (SELECT c.word, c.root FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = variants.grouped(table(spark, folder, "documents"), altered=31)
+    return rows.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def _merkle_check() -> str:
+    def hashed(text: str) -> str:
+        sized = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+        return f"sha256({' || '.join(sized.format(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    def tree(name: str, start: str) -> str:
+        """The nodes of all levels over the rows (k, pos, digest, many) of ``start``, with their siblings."""
+        run = "OVER (PARTITION BY k, level, pos // 3 ORDER BY pos ROWS BETWEEN"
+        return f"""{name}_nodes AS (SELECT k, 0 AS level, pos, digest, many FROM {start} UNION ALL
+            SELECT k, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(many) + 2) // 3
+            FROM {name}_nodes WHERE many > 1 GROUP BY k, level, pos // 3),
+        {name}_sides AS (SELECT k, level, pos, coalesce(string_agg(digest, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+            coalesce(string_agg(digest, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+            FROM {name}_nodes WHERE many > 1)"""
+
+    changed = f"CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+    return f"""
+    WITH RECURSIVE {CRC_TABLE_SQL},
+    d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '-') AS k, {hashed('text')} AS digest, {hashed('other')} AS altered
+        FROM (SELECT *, {changed} AS other FROM documents, crc)),
+    placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos, count(*) OVER (PARTITION BY k) AS many FROM d),
+    {tree('own', 'placed')},
+    sub AS MATERIALIZED (SELECT k AS name, digest AS subroot FROM own_nodes WHERE many = 1),
+    subs AS (SELECT 0 AS k, name, row_number() OVER (ORDER BY encode(name)) - 1 AS pos, subroot AS digest, count(*) OVER () AS many FROM sub),
+    {tree('top', 'subs')},
+    steps AS (SELECT r, s.level, before, after FROM placed p JOIN own_sides s ON p.k = s.k AND p.pos // CAST(pow(3, s.level) AS BIGINT) = s.pos
+        UNION ALL SELECT r, 1000 + s.level, before, after FROM placed p JOIN subs u ON p.k = u.name
+        JOIN top_sides s ON u.pos // CAST(pow(3, s.level) AS BIGINT) = s.pos),
+    ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY r ORDER BY level) AS i FROM steps),
+    fold AS (SELECT r, 0 AS i, altered AS acc FROM placed UNION ALL
+        SELECT f.r, o.i, sha256(before || acc || after) FROM fold f JOIN ordered o ON f.r = o.r AND o.i = f.i + 1),
+    ended AS (SELECT r, arg_max(acc, i) AS folded_root FROM fold GROUP BY r),
+    proof AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY i)) AS p FROM ordered GROUP BY r)
+    SELECT doc_id, p.digest AS leaf, subroot, t.digest AS root, coalesce(proof.p, sha256('')) AS proof_sha256, folded_root, folded_root = t.digest AS verified
+    FROM placed p JOIN sub ON p.k = sub.name JOIN ended USING (r) LEFT JOIN proof USING (r), (SELECT digest FROM top_nodes WHERE many = 1) t
+    """
+
+
+@query("op13_merkle_manifest", _merkle_check())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    id_text = F.col("doc_id").cast("string").cast("binary")
+    without_breaks = F.when(F.crc32(id_text) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    rows = merkle.verified(table(spark, folder, "documents"), without_breaks)
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
