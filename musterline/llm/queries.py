@@ -19,6 +19,7 @@ from musterline.llm import (
     simhash,
     suffixes,
     token_files,
+    toxicity,
     urls,
     variants,
 )
@@ -317,6 +318,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+@query("op12_toxicity")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def _merkle_check() -> str:
     def hashed(text: str) -> str:
         sized = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
