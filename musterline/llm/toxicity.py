@@ -4,8 +4,9 @@ A word is the mean of the vectors of its character n-grams and of itself, looked
 unseen spelling or inflection shares most of its vectors with known ones. A passage of ``PASSAGE_WORDS`` words is
 the mean of its distinct words, filled up with zero vectors to ``LEAST_WORDS`` so that a junk line of one repeated
 word stays near nothing, and a linear softmax over the two classes reads it. Table and softmax are trained together
-by Adam in numpy. A text is as toxic as its worst passage, so one bad sentence is not averaged away in a long text:
-in training, a toxic text's gradient goes to its passages by how toxic they seem so far, a clean text's to all of them.
+by Adam in numpy, each vector being drawn towards zero by a fixed length a step, so that only n-grams that many texts
+support keep one. A text is as toxic as its worst passage, so one bad sentence is not averaged away in a long text:
+in training, a text's gradient goes to its passages by how toxic they seem so far.
 A line fitted on a fifth of the training texts, which the table does not learn from, turns the worst passage's
 margin into a probability at the true share of toxic texts.
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 3_000
-MAX_PASSAGES = 60_000
+MAX_PASSAGES = 32_000
 PASSAGE_WORDS = 64
 PASSAGE_BYTES = 4_096
 LEAST_WORDS = 16
@@ -44,6 +45,7 @@ LEAST_TEXTS = 3  # n-grams of fewer training texts stay at zero
 EPOCHS = 12
 BATCHES = 12
 RATE = 0.5
+SHRINK = 0.3  # of the step, taken off every vector used: what only one text supports stays at zero
 FLOOR = 0.003  # keeps steps of seldom n-grams small
 KEPT_WORDS = 300_000
 CALIBRATION = 5  # every fifth text of the sample fits the line only
@@ -87,15 +89,16 @@ class Model:
             found = self.known[word] = float(self.numbers[buckets_of(word)].mean())
         return found
 
-    def margin(self, passages: list[list[str]]) -> float:
+    def margin(self, text: str) -> float:
         """The softmax margin of the worst passage."""
+        passages = passages_of(words_of(text))
         means = (sum(map(self.weight, p)) / max(len(p), LEAST_WORDS) for p in passages)
         return self.bias + max(means, default=0.0)
 
     def scores(self, texts) -> np.ndarray:
         if self.numbers is None:
             return np.full(len(texts), self.share)
-        margins = np.array([self.margin(passages_of(words_of(t))) for t in texts], dtype=float)
+        margins = np.array([self.margin(t) for t in texts], dtype=float)
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -30, 30)))
 
 
@@ -110,14 +113,13 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
 class Batch:
     """Passages of some texts as index arrays: passage to words, word to table rows, and both backwards."""
 
-    def __init__(self, passages: list[list[int]], texts: np.ndarray, labels: np.ndarray, rows_of: list[np.ndarray]):
-        tokens = np.concatenate([np.array(p) for p in passages])
+    def __init__(self, passages: list[np.ndarray], texts: np.ndarray, labels: np.ndarray, rows_of: list[np.ndarray]):
+        tokens = np.concatenate(passages)
         words, self.tokens = np.unique(tokens, return_inverse=True)
         counts = np.array([len(p) for p in passages])
         self.starts = _starts(counts)
         self.sizes = np.maximum(counts, LEAST_WORDS)
         self.texts, self.text_labels = texts, labels
-        self.labels = labels[texts]
         by_word = np.argsort(self.tokens, kind="stable")
         self.passage_of_token = np.repeat(np.arange(len(passages)), counts)[by_word]
         self.word_starts = np.searchsorted(self.tokens[by_word], np.arange(len(words)))
@@ -144,29 +146,27 @@ class Batch:
 
     def errors(self, margins: np.ndarray) -> np.ndarray:
         """The gradient of the loss by each passage's margin; every text weighs the same."""
-        odds = 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
         count = len(self.text_labels)
         highest = np.full(count, -np.inf)
         np.maximum.at(highest, self.texts, margins)
+        odds = 1 / (1 + np.exp(-np.clip(highest, -30, 30)))
         seeming = np.exp(margins - highest[self.texts])
-        total = np.bincount(self.texts, seeming, count)
-        toxic = seeming / total[self.texts] * (odds - 1)
-        return np.where(self.labels == 1, toxic, odds).astype(np.float32)
+        share = seeming / np.bincount(self.texts, seeming, count)[self.texts]
+        return (share * (odds - self.text_labels)[self.texts]).astype(np.float32)
 
 
-def fit(texts: list[list[list[str]]], labels: np.ndarray, share: float) -> Model:
-    """Trains on texts given as passages of words; the same input always gives the same model."""
+def fit(texts: list[list[str]], labels: np.ndarray, share: float) -> Model:
+    """Trains on texts given as passages, words parted by blanks; the same input always gives the same model."""
     toxic = labels.mean() if len(labels) else 0.5
     if toxic in (0.0, 1.0) or len(labels) < 2 * CALIBRATION:
         return Model(None, 0.0, 1.0, 0.0, share)
     numbers: dict[str, int] = {}
-    coded = [[[numbers.setdefault(w, len(numbers)) for w in p] for p in t] for t in texts]
+    coded = [[np.array([numbers.setdefault(w, len(numbers)) for w in p.split(" ")], np.int32) for p in t] for t in texts]
     rows_of = [np.array(buckets_of(w), np.int32) for w in numbers]
     held = np.zeros(BUCKETS, np.int64)
     for passages in coded:
-        words = {w for p in passages for w in p}
-        if words:
-            held[np.unique(np.concatenate([rows_of[w] for w in words]))] += 1
+        if passages:
+            held[np.unique(np.concatenate([rows_of[w] for w in np.unique(np.concatenate(passages))]))] += 1
     common = (held >= LEAST_TEXTS)[:, None].astype(np.float32)
     rng = np.random.default_rng(12)
     order = rng.permutation(len(texts))
@@ -202,13 +202,17 @@ def fit(texts: list[list[list[str]]], labels: np.ndarray, share: float) -> Model
             step(n, 1, softmax, slice(None), vectors.T @ by_logit)
             step(n, 2, bias, slice(None), by_logit.sum(axis=0))
             step(n, 0, table, some.used, by_table)
+            rows = table[some.used]
+            norms = np.linalg.norm(rows, axis=1, keepdims=True)
+            table[some.used] = rows * np.maximum(0, 1 - RATE * SHRINK / np.maximum(norms, 1e-9))
     folded = (table @ (softmax[:, 1] - softmax[:, 0])).astype(np.float64)
     model = Model(folded, float(bias[1] - bias[0]), 1.0, 0.0, share)
-    margins = np.array([model.margin(texts[i]) for i in rest])
+    weights = np.array([folded[r].mean() for r in rows_of])
+    means = [[weights[p].sum() / max(len(p), LEAST_WORDS) for p in coded[i]] for i in rest]
+    margins = np.array([model.bias + max(m, default=0.0) for m in means])
     slope, offset = _line(margins, labels[rest])
     odds = np.log(share / (1 - share)) - np.log(toxic / (1 - toxic)) if 0 < share < 1 else 0.0
     model.slope, model.offset = slope, offset + float(odds)
-    model.known.clear()
     return model
 
 
@@ -249,12 +253,14 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(small), "doc_id")
     cut = texts.select("doc_id", "toxic", F.xxhash64("text").alias("t"), F.posexplode(passages("text")).alias("at", "passage"))
     cut = cut.filter(F.octet_length("passage") <= PASSAGE_BYTES).distinct()
-    rows = cut.orderBy(*order, "t", F.xxhash64("passage"), "at").limit(max_passages).collect()
-    found: dict[tuple, list] = {}
-    for r in rows:
-        found.setdefault((r.doc_id, r.t), [r.toxic]).append((r["at"], r.passage.split(" ")))
-    texts = [[p for _, p in sorted(own[1:])] for own in found.values()]
-    return fit(texts, np.array([float(own[0]) for own in found.values()]), share)
+    rows = cut.orderBy(*order, "t", F.xxhash64("passage"), "at").limit(max_passages).toArrow()
+    texts, found = {}, []
+    for doc_id, toxic, t, passage in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "toxic", "t", "passage"))):
+        if (doc_id, t) not in texts:
+            texts[doc_id, t] = len(found)
+            found.append((float(toxic), []))
+        found[texts[doc_id, t]][1].append(passage)
+    return fit([p for _, p in found], np.array([y for y, _ in found]), share)
 
 
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -24,7 +24,7 @@ def sample(count=800, seed=5):
 
 
 def passages(text):
-    return toxicity.passages_of(toxicity.words_of(text))
+    return [" ".join(p) for p in toxicity.passages_of(toxicity.words_of(text))]
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_unseen_endings_are_caught_and_clean_texts_left_alone(model):
     rows = sample(seed=6)
     found = model.scores([t for t, _ in rows]) >= 0.3
     labels = np.array([y for _, y in rows]) == 1
-    assert found[labels].mean() > 0.9 and found[~labels].mean() < 0.05
+    assert found[labels].mean() > 0.98 and found[~labels].mean() < 0.02
 
 
 def test_misspelling_in_a_very_long_text(model):
@@ -69,7 +69,7 @@ def test_slopes_equal_finite_differences():
     rng = np.random.default_rng(1)
     rows_of = [np.array(rng.integers(0, 9, 4), np.int32) for _ in range(6)]
     texts, labels = np.array([0, 0, 1, 2]), np.array([1.0, 0.0, 1.0])
-    batch = toxicity.Batch([[0, 1, 2], [3, 1], [4, 5, 0], [2]], texts, labels, rows_of)
+    batch = toxicity.Batch([np.array(p) for p in ([0, 1, 2], [3, 1], [4, 5, 0], [2])], texts, labels, rows_of)
     table, softmax = rng.normal(size=(9, 3)), rng.normal(size=(3, 2))
     weights = rng.normal(size=4)
 
