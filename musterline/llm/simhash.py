@@ -203,12 +203,22 @@ def one_of_each(documents: DataFrame, slice_rows: int = near_copies.SLICE) -> Da
     """One document of each group of near copies, that with the smallest doc_id, with its columns as they were.
 
     The groups are those of ``near_copies`` (five-word shingles, Jaccard similarity 0.8 or more), which the
-    fingerprints of this module are too coarse for. Null ids come last; of equal ids the smallest text is kept.
-    The survivors are chosen by partial aggregation, so a group that holds much of the table is never gathered.
+    fingerprints of this module are too coarse for. Null ids come last; of equal ids that with the smallest
+    row key stays, and of rows equal in id and text the first by their JSON form. Survivors are chosen by their keys
+    alone, by partial aggregation: a group that holds much of the table is never gathered, and texts are not shuffled
+    unless very many rows go.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
+    columns = documents.columns
+    tied = cut_lineage(near_copies.tied(documents, slice_rows))
+    key = near_copies.KEY
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *key)
+    first = tied.groupBy("component").agg(F.min(order).alias("_o")).select(*[F.col(f"_o.{k}") for k in key], F.lit(True).alias("_first"))
+    named = tied.join(first, key, "left").select(*key, F.col("_first").isNotNull().alias("_first"), "n")
+    # Most rows stay: only keys that go, or that stand for several rows, are looked up.
+    special = cut_lineage(named.filter("not _first or n > 1").drop("n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
     keyed = documents.select(*row_key("doc_id", "text"), row)
-    packed = keyed.join(near_copies.tied(documents, slice_rows), near_copies.KEY)
-    order = F.struct(F.col("_row.doc_id").isNull(), F.col("_row.doc_id"), F.col("_row.text"))
-    kept = packed.groupBy("component").agg(F.min_by("_row", order).alias("_row"))
-    return kept.select(*[F.col("_row")[c].alias(c) for c in documents.columns])
+    marked = join_small(keyed, special, key, "left", near_copies.FEW_NODES)
+    repeated = marked.filter("_first").groupBy(*key).agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
+    kept = marked.filter("_first is null").select("_row").union(repeated)
+    return kept.select(*[F.col("_row")[c].alias(c) for c in columns])

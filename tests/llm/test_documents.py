@@ -210,6 +210,18 @@ def test_one_of_each_drops_all_near_copies(spark, slice_rows):
     assert not {1, 2, 3, 6001, 6011, 7001, 7004} & set(plain_near(rows)) and {5000, 5014, 7002} <= set(plain_near(rows))
 
 
+def test_parities_never_differ_in_more_places_than_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 6000), dtype=np.uint64)
+        other = np.concatenate([base[: rng.integers(0, len(base) + 1)], rng.integers(0, 1 << 63, rng.integers(0, 6000), dtype=np.uint64)])
+        a, b = np.unique(base), np.unique(other)
+        found = near_copies.differing([near_copies.parities_of(a)], [near_copies.parities_of(b)])[0]
+        assert found <= len(np.setxor1d(a, b))
+    far = [near_copies.parities_of(np.unique(rng.integers(0, 1 << 63, 9000, dtype=np.uint64))) for _ in range(2)]
+    assert near_copies.differing(far[:1], far[1:])[0] * 9 > 18_000  # unlike sets of any size are told apart
+
+
 # Repeated byte strings
 
 

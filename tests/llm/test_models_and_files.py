@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from musterline.llm import CHECKS, QUERIES, chat, quality, queries, token_files, urls
 from tests.llm.samples import FIELDS, awkward, frame, prose
-from tests.llm.test_documents import MODEL, plain_components, plain_hits, plain_lines, plain_simhash
+from tests.llm.test_documents import MODEL, plain_hits, plain_lines, plain_near
 
 SMALL = "/root/testdata/sf0.001"
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -241,6 +241,24 @@ def test_no_documents_no_files(spark, tmp_path):
     assert order.count() == 0 and token_files.document_lengths(spark, folder).count() == 0
 
 
+def test_scores_equal_a_plain_loop_over_bins():
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(400, len(quality.MEASURES)))
+    model = quality.fit(values, (values[:, 0] * values[:, 1] + values[:, 2] > 0).astype(float))
+    assert model.pairs
+
+    def bin_of(edges, value):
+        return sum(1 for e in edges if e <= value)
+
+    for row, score in zip(values, model.scores(values)):
+        total = model.base
+        for m, value in enumerate(row):
+            total += model.tables[m][bin_of(model.edges[m], value)]
+        for a, b, table in model.pairs:
+            total += table[bin_of(model.coarse[a], row[a])][bin_of(model.coarse[b], row[b])]
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-12
+
+
 # Pipeline and queries
 
 
@@ -255,8 +273,8 @@ def test_pipeline_equals_plain_stages(spark):
     model = quality.fit(np.array([quality.measures_of(texts[i]) for i in learnt]), np.array([float(labels[i]) for i in learnt]))
     good = [(i, t) for i, t in rows if model.scores(quality.measures_of(t)[None])[0] >= 0.5]
     cut = [(i, t) for (i, t), n in plain_lines(good).items() if t or t == texts[i]]
-    groups = plain_components([i for i, _ in cut], [plain_simhash(t) for _, t in cut])
-    kept = [(i, t) for (i, t), g in zip(cut, groups) if i == g]
+    stay = set(plain_near(cut))
+    kept = [(i, t) for i, t in cut if i in stay]
     dirty = {i for i, _, hit, _ in plain_hits(kept, items) if hit}
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = {i: np.array(sp.encode(t, add_bos=True, add_eos=True), "<u4").tobytes() for i, t in kept if i not in dirty}
