@@ -1,7 +1,17 @@
 import numpy as np
 import pytest
 
-from musterline.operators.matching import active_gallery, match, search
+from musterline.catalog.matching_queries import RADIUS
+from musterline.operators.matching import (
+    HASH_BITS,
+    active_gallery,
+    code_distances,
+    match,
+    radius_for,
+    recall_against,
+    search,
+    sign_codes,
+)
 from musterline.settings import MatchingSettings
 
 GALLERY = "embedding_id string, student_id string, university_id string, embedding array<float>, model_version string"
@@ -121,8 +131,58 @@ def test_hashed_search_finds_close_neighbours(spark):
     base = rng.standard_normal((40, 16))
     rows = [(f"e{i}", f"s{i}", f"s{i}", unit(*v), "m1") for i, v in enumerate(base)]
     probes = [(f"p{i}", unit(*(v + 0.05 * rng.standard_normal(16))), "m1") for i, v in enumerate(base)]
-    found = search(
-        spark.createDataFrame(probes, PROBES), spark.createDataFrame(rows, GALLERY), 1, "lsh", hash_bits=4
-    ).collect()
+    found = search(spark.createDataFrame(probes, PROBES), spark.createDataFrame(rows, GALLERY), 1, "lsh").collect()
     hits = sum(r.probe_id[1:] == r.embedding_id[1:] for r in found)
     assert hits >= 38
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("radius", [None, RADIUS])
+def test_hashed_search_on_the_given_vectors(spark, folder, radius):
+    vectors = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    name = "cast(vec_id as string)"
+    gallery = vectors.selectExpr(f"{name} embedding_id", f"{name} student_id", "embedding", "'m1' model_version")
+    probes = vectors.selectExpr(f"{name} probe_id", "embedding", "'m1' model_version")
+    exact = search(probes, gallery, 10, exclude_same_id=True)
+    hashed = search(probes, gallery, 10, "lsh", exclude_same_id=True, hash_radius=radius)
+    assert recall_against(hashed, exact).first().recall >= 0.9
+    units = np.array(vectors.toArrow().column("embedding").to_pylist())
+    codes = sign_codes(units, HASH_BITS)
+    if radius is None:
+        radius = radius_for(probes, gallery, 10, exclude_same_id=True)
+    assert (code_distances(codes, codes) <= radius).mean() <= (0.22 if folder == "sf0.01" else 0.2)
+
+
+def test_radius_of_clustered_vectors_compares_little(spark):
+    rng = np.random.default_rng(6)
+    vectors = np.repeat(rng.standard_normal((60, 64)), 12, axis=0) + 0.3 * rng.standard_normal((720, 64))
+    rows = [(f"e{i}", f"s{i}", f"s{i}", unit(*v), "m1") for i, v in enumerate(vectors)]
+    gallery = spark.createDataFrame(rows, GALLERY)
+    probes = gallery.selectExpr("embedding_id as probe_id", "embedding", "model_version")
+    radius = radius_for(probes, gallery, 10, exclude_same_id=True)
+    codes = sign_codes(vectors, HASH_BITS)
+    assert (code_distances(codes, codes) <= radius).mean() < 0.03
+
+
+@pytest.mark.parametrize("resident_bytes", [0, 1 << 26])
+def test_hashed_search_equals_brute_force_within_the_radius(spark, resident_bytes):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((150, 16))
+    rows = [(f"e{i:03d}", "s", "s", unit(*v), "m1") for i, v in enumerate(vectors)]
+    gallery = spark.createDataFrame(rows, GALLERY)
+    probes = gallery.selectExpr("embedding_id as probe_id", "embedding", "model_version")
+    found = search(probes, gallery, 3, "lsh", True, 20, hash_radius=100, resident_bytes=resident_bytes).collect()
+    planes = np.random.default_rng(7).standard_normal((256, 16))
+    units = np.array([r[3] for r in rows], np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    sides, scores, want = units @ planes.T >= 0, np.round(units @ units.T, 12), set()
+    for i in range(150):
+        near = [j for j in range(150) if j != i and (sides[i] != sides[j]).sum() <= 100]
+        near.sort(key=lambda j: (-scores[i, j], j))
+        want |= {(f"e{i:03d}", f"e{j:03d}", n + 1) for n, j in enumerate(near[:3])}
+    assert {(r.probe_id, r.embedding_id, r.candidate_rank) for r in found} == want
+
+
+def test_hashed_search_of_nothing(spark):
+    gallery = spark.createDataFrame([], GALLERY)
+    assert search(spark.createDataFrame([("p", [1.0, 0.0], "m1")], PROBES), gallery, 3, "lsh").count() == 0
