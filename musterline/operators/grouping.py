@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from musterline.cluster import cut_lineage, discard
-from musterline.operators.blocks import TILE_ROWS, compare_blocks, tiles, unit_matrix
+from musterline.operators.blocks import RESIDENT_BYTES, TILE_ROWS, compare_cells, compare_resident, resident, tiles, unit_matrix
 
 LINK_BLOCK_ROWS = 8_000
 COPIES_MERGE_BELOW = 0.999
@@ -48,25 +48,27 @@ def _links(threshold: float):
     return compute
 
 
+def _compared(left: DataFrame, held: pa.Table | None, threshold: float, compute, schema: str, block_rows: int) -> DataFrame:
+    """``compute`` on all fragments and all that can be similar: at hand in every task if they are few, else by cells."""
+    if held is None:
+        return compare_cells(left, "fragment_id", "other_id", threshold, compute, schema, block_rows)
+    others = held.rename_columns(["other_id", *held.column_names[1:]])
+    return compare_resident(left, others, "model_version", "fragment_id", compute, schema)
+
+
 def fragment_links(
-    fragments: DataFrame, threshold: float = 0.5, block_rows: int = LINK_BLOCK_ROWS
+    fragments: DataFrame, threshold: float = 0.5, block_rows: int = LINK_BLOCK_ROWS, resident_bytes: int = RESIDENT_BYTES
 ) -> DataFrame:
     """For each fragment the number of others at or above the threshold and the nearest of them.
 
     The pairs themselves are counted inside the tasks and never become rows, so a large group of
-    near-copies costs no more than any other. Fragments of different models never meet.
+    near-copies costs no more than any other. Fragments of different models never meet. Above ``resident_bytes``
+    of vectors, a fragment is compared only with the blocks that can hold a neighbour of it.
     """
-    left = fragments.filter(F.col("embedding").isNotNull()).select("fragment_id", "model_version", "embedding")
-    right = left.withColumnRenamed("fragment_id", "other_id")
-    parts = compare_blocks(
-        left,
-        right,
-        ["model_version"],
-        ("fragment_id", "other_id"),
-        _links(threshold),
-        "fragment_id bigint, links bigint, other_id bigint, similarity double",
-        block_rows,
-    )
+    usable = fragments.filter(F.col("embedding").isNotNull()).select("fragment_id", "model_version", "embedding")
+    held = resident(usable, ["fragment_id"], resident_bytes)
+    schema = "fragment_id bigint, links bigint, other_id bigint, similarity double"
+    parts = _compared(usable, held, threshold, _links(threshold), schema, block_rows)
     linked = parts.filter(F.col("links") > 0)
     nearest = F.max(F.struct("similarity", (-F.col("other_id")).alias("minus_id")))
     return (
@@ -119,22 +121,6 @@ def _stars(threshold: float):
     return compute
 
 
-def link_forest(fragments: DataFrame, threshold: float, block_rows: int = LINK_BLOCK_ROWS) -> DataFrame:
-    """Edges (a, b) with the same connected components as the graph of all similar pairs."""
-    left = fragments.select("fragment_id", "model_version", "embedding")
-    right = left.withColumnRenamed("fragment_id", "other_id")
-    return compare_blocks(
-        left,
-        right,
-        ["model_version"],
-        ("fragment_id", "other_id"),
-        _stars(threshold),
-        "a bigint, b bigint",
-        block_rows,
-        mirrored=True,
-    )
-
-
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges as a written table, with their count and hash sum, which the write itself takes in passing.
     Equal sets of edges give equal sums."""
@@ -175,15 +161,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def single_linkage(
-    fragments: DataFrame, threshold: float = 0.5, block_rows: int = LINK_BLOCK_ROWS
+    fragments: DataFrame, threshold: float = 0.5, block_rows: int = LINK_BLOCK_ROWS, resident_bytes: int = RESIDENT_BYTES
 ) -> DataFrame:
     """(fragment_id, cluster_id): a cluster is named after its smallest fragment id.
 
-    Exact copies of a vector are one node in the graph. Fragments without a vector are left out;
+    Every task or piece gives a spanning forest of the links it sees, never the pairs. Where vectors are compared by
+    cells, exact copies of a vector are one node in the graph. Fragments without a vector are left out;
     one without any link is a cluster of its own.
     """
     usable = fragments.filter(F.col("embedding").isNotNull()).select("fragment_id", "model_version", "embedding")
-    if threshold < COPIES_MERGE_BELOW:
+    held = resident(usable, ["fragment_id"], resident_bytes)
+    if held is None and threshold < COPIES_MERGE_BELOW:
         same = ["model_version", "embedding"]
         nodes = usable.groupBy(*same).agg(F.min("fragment_id").alias("node"))
         member = usable.join(nodes, same).select("fragment_id", "node")
@@ -191,7 +179,8 @@ def single_linkage(
     else:
         member = usable.select("fragment_id", F.col("fragment_id").alias("node"))
         distinct_vectors = usable
-    components = connected_components(link_forest(distinct_vectors, threshold, block_rows))
+    edges = _compared(distinct_vectors.select("fragment_id", "model_version", "embedding"), held, threshold, _stars(threshold), "a bigint, b bigint", block_rows)
+    components = connected_components(edges)
     return member.join(components, "node", "left").select(
         "fragment_id", F.coalesce("component", "node").alias("cluster_id")
     )

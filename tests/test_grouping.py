@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from musterline.operators.blocks import deal_to_cells
 from musterline.operators.grouping import connected_components, fragment_links, fragmentation, single_linkage
 from musterline.operators.ordering import numbered, previous_value
 from musterline.operators.profile import exact_percentiles
@@ -32,8 +33,8 @@ def test_equality_with_the_threshold_links(spark):
     assert clusters(spark, [(1, 0), (3, 4)], threshold=0.6) == [[0, 1]]
 
 
-@pytest.mark.parametrize("block_rows", [8_000, 17])
-def test_many_copies_agree_with_brute_force(spark, block_rows):
+@pytest.mark.parametrize("options", [{}, {"resident_bytes": 0}, {"resident_bytes": 0, "block_rows": 17}])
+def test_many_copies_agree_with_brute_force(spark, options):
     rng = np.random.default_rng(2)
     vectors = rng.standard_normal((150, 6))
     vectors[50:100] = vectors[50]
@@ -51,13 +52,53 @@ def test_many_copies_agree_with_brute_force(spark, block_rows):
     expected = {}
     for i, c in enumerate(label):
         expected.setdefault(c, []).append(i)
-    assert clusters(spark, vectors, 0.8, block_rows=block_rows) == sorted(expected.values())
+    assert clusters(spark, vectors, 0.8, **options) == sorted(expected.values())
 
     df = spark.createDataFrame([(i, unit(*v), "m1") for i, v in enumerate(vectors)], FRAGMENTS)
-    links = {r.fragment_id: r.links for r in fragment_links(df, 0.8, block_rows=block_rows).collect()}
+    links = {r.fragment_id: r.links for r in fragment_links(df, 0.8, **options).collect()}
     assert links == {i: int(n) - 1 for i, n in enumerate(near.sum(axis=1)) if n > 1}
 
 
+def compared(spark, vectors, threshold, block_rows):
+    """How many comparisons the cells lead to, and whether all pairs at the threshold are among them."""
+    df = spark.createDataFrame([(i, unit(*v), "m1") for i, v in enumerate(vectors)], FRAGMENTS)
+    visiting, residing = deal_to_cells(df, "fragment_id", float(np.arccos(threshold)), block_rows, 64)
+    pieces, met = {}, np.zeros((len(vectors), len(vectors)), int)
+    for side, rows in enumerate((visiting.collect(), residing.collect())):
+        for r in rows:
+            pieces.setdefault((r._from, r._to), ([], []))[side].append(r.fragment_id)
+    for left, right in pieces.values():
+        met[np.ix_(left, right)] += 1
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert met.max() == 1 and met[np.round(units @ units.T, 12) >= threshold].all()
+    return met.sum()
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6, 0.95])
+def test_cells_miss_no_pair(spark, threshold):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((300, 5))
+    vectors[:80] = vectors[0] + 0.05 * rng.standard_normal((80, 5))
+    compared(spark, vectors, threshold, 25)
+
+
+def test_comparisons_of_people_grow_less_than_with_the_square(spark):
+    rng = np.random.default_rng(9)
+
+    def people(count):
+        return np.repeat(rng.standard_normal((count, 64)), 10, axis=0) + 0.15 * rng.standard_normal((count * 10, 64))
+
+    small, large = (compared(spark, people(n), 0.8, 40) for n in (15, 60))
+    assert large < 0.3 * 600**2 and large < 9 * small  # four times the vectors: sixteen times all pairs
+
+
+def test_few_fragments_are_compared_where_they_lie(spark, capsys):
+    df = spark.createDataFrame([(i, unit(1, i), "m1") for i in range(9)], FRAGMENTS)
+    fragment_links(df, 0.8).explain("formatted")
+    tree = capsys.readouterr().out.split("(1)")[0]
+    assert "MapInArrow" in tree and "CoGroup" not in tree.replace("cogroup", "CoGroup")
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)]
     out = connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
