@@ -1,11 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
-Lines that are not blank are hashed. Each window of ``RUN`` such lines keeps its smallest hash as its
-fingerprint, so every repeated run of ``RUN`` lines or more has a common fingerprint. Fingerprints that
-stand at one place only are dropped; the windows of the others are compared with the earliest equal
-window of the corpus. Overlapping matches join, which extends a match both ways as far as it goes, and
-the later occurrence of a run is deleted with the blank lines inside it. A text of fewer lines is one
-window of its own length and is compared with texts of as many.
+Lines that are not blank are hashed. A window starts at each of them and ends with the line that makes it ``RUN``
+lines or more than ``WORDS`` words, whichever comes first: a passage of that many words counts as a run even if it is
+one line. Each window keeps its smallest hash as its fingerprint, so every repeated run that holds a window has a
+common fingerprint. Fingerprints that stand at one place only are dropped; the windows of the others are compared
+with the earliest equal window of the corpus. Overlapping matches join, which extends a match both ways as far as
+windows go, and the later occurrence of a run is deleted with the blank lines inside it. A text of fewer lines and
+words is one window of its own length and is compared with texts of as many lines.
 
 Places are ordered by doc_id (null last), then by a hash of the row, then by line; the earliest
 occurrence stays. Defined results: a null text stays null, a text without lines that are not blank stays as
@@ -23,16 +24,19 @@ from musterline.cluster import cut_lineage
 from musterline.llm.tables import row_key
 
 RUN = 3
+WORDS = 50
 KEY = ["_k1", "_k2"]
 
 
 def _kept_lines(text: Column) -> Column:
-    """The lines that are not blank, as (hash, place)."""
+    """The lines that are not blank, as (hash, words, place)."""
     blank = " \t\r"
     lines = F.transform(
         F.split(text, "\n", -1),
         lambda line, i: F.struct(
-            F.when(F.btrim(line, F.lit(blank)) != "", F.xxhash64(line)).alias("h"), i.alias("at")
+            F.when(F.btrim(line, F.lit(blank)) != "", F.xxhash64(line)).alias("h"),
+            F.regexp_count(line, F.lit("[^ \\t\\r]+")).alias("words"),
+            i.alias("at"),
         ),
     )
     return F.filter(lines, lambda s: s["h"].isNotNull())
@@ -45,15 +49,22 @@ def windows(documents: DataFrame, run: int = RUN) -> DataFrame:
 
     def window(start, i):
         here = [F.get(F.col("kept"), i + j) for j in range(run)]
-        last = F.coalesce(*[x["at"] for x in reversed(here)])
-        hashes = [F.coalesce(x["h"], F.lit(0)).alias(f"h{j}") for j, x in enumerate(here)]
-        least = F.least(*[x["h"] for x in here]) if run > 1 else start["h"]
-        size = F.least(many, F.lit(run)).alias("size")
-        return F.struct(start["at"].alias("first"), last.alias("last"), least.alias("fingerprint"), size, *hashes)
-
-    starts = F.slice("kept", F.lit(1), F.greatest(many - run + 1, F.lit(1)))
-    found = rows.select(*KEY, "doc_id", F.explode_outer(F.transform(starts, window)).alias("_w"))
-    return found.select(*KEY, "doc_id", "_w.*").filter(F.col("first").isNotNull())
+        size, words = F.when(i == 0, F.least(many, F.lit(run))).otherwise(F.lit(run)), F.lit(0)
+        bound = []
+        for j, x in enumerate(here):
+            words = words + x["words"]
+            bound.append(F.when(words > WORDS, F.lit(j + 1)))  # null words, beyond the end, are no bound
+        size = F.least(size, *bound)
+        inside = [size > j for j in range(run)]
+        last = F.get(F.col("kept"), i + size - 1)["at"]
+        hashes = [F.when(t, x["h"]).otherwise(F.lit(0)).alias(f"h{j}") for j, (t, x) in enumerate(zip(inside, here))]
+        least = F.least(*[F.when(t, x["h"]) for t, x in zip(inside, here)]) if run > 1 else start["h"]
+        whole = F.struct(start["at"].alias("first"), last.alias("last"), least.alias("fingerprint"), size.alias("size"), *hashes)
+        return F.when(i + size <= many, whole)
+
+    starts = F.array_compact(F.transform("kept", window))
+    found = rows.select(*KEY, "doc_id", F.explode(starts).alias("_w"))
+    return found.select(*KEY, "doc_id", "_w.*")
 
 
 def repeated_runs(documents: DataFrame, run: int = RUN) -> DataFrame:

@@ -119,12 +119,16 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
                       generate_subscripts(string_split(text, chr(10)), 1) AS i
                FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
-    k AS (SELECT doc_id, i, line, row_number() OVER w AS j, count(*) OVER (PARTITION BY doc_id) AS n
+    k AS (SELECT doc_id, i, line, row_number() OVER w AS j, count(*) OVER (PARTITION BY doc_id) AS n,
+                 len(regexp_extract_all(line, '[^ \t\r]+')) AS words
           FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-    win AS (SELECT doc_id, i AS first, coalesce(lead(i, 2) OVER w, lead(i) OVER w, i) AS last,
-                   line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c, j, n
+    near AS (SELECT *, lead(i) OVER w AS i2, lead(i, 2) OVER w AS i3, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3,
+                   words + lead(words) OVER w AS words2
             FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
-    whole AS (SELECT *, least(n, 3) AS size FROM win WHERE j <= greatest(n - 2, 1)),
+    win AS (SELECT *, CASE WHEN words > 50 THEN 1 WHEN words2 > 50 THEN 2 WHEN j = 1 THEN least(n, 3) ELSE 3 END AS size FROM near),
+    whole AS (SELECT doc_id, i AS first, CASE size WHEN 1 THEN i WHEN 2 THEN i2 ELSE i3 END AS last, size, line AS a,
+                     CASE WHEN size > 1 THEN line2 END AS b, CASE WHEN size > 2 THEN line3 END AS c
+              FROM win WHERE j + size - 1 <= n),
     earliest AS (SELECT size, a, b, c, min({'d': doc_id, 'f': first}) AS e FROM whole GROUP BY size, a, b, c),
     later AS (SELECT w.doc_id, w.first, w.last FROM whole w JOIN earliest e
               ON w.size = e.size AND w.a = e.a AND w.b IS NOT DISTINCT FROM e.b AND w.c IS NOT DISTINCT FROM e.c

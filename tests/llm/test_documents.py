@@ -410,8 +410,14 @@ def plain_lines(rows, size=3):
     for i, text in order:
         parts = [] if text is None else text.split("\n")
         kept = [(n, x) for n, x in enumerate(parts) if x.strip(" \t\r")]
-        run, gone = min(size, len(kept)), set()
-        for p in range(len(kept) - run + 1 if run else 0):
+        gone = set()
+        for p in range(len(kept)):
+            run = min(size, len(kept)) if p == 0 else size
+            for k in range(run, 0, -1):
+                if p + k <= len(kept) and sum(len(x.split()) for _, x in kept[p : p + k]) > 50:
+                    run = k
+            if p + run > len(kept):
+                continue
             key = (run, *[x for _, x in kept[p : p + run]])
             if places.setdefault(key, (i, p)) != (i, p):
                 gone.update(range(kept[p][0], kept[p + run - 1][0] + 1))
@@ -432,6 +438,18 @@ def test_repeated_runs_of_lines(spark, none):
     assert lines.without_repeats(none).count() == 0
 
 
+def test_long_passages_of_one_or_two_lines(spark):
+    long, half, other = prose(41, 51), prose(42, 30), prose(43, 30)
+    short = prose(44, 50)
+    rows = [(1, f"{prose(45, 9)}\n{long}\n{prose(46, 9)}"), (2, f"{prose(47, 9)}\n{prose(48, 9)}\n{long}"), (3, long)]
+    rows += [(4, f"{half}\n\n{other}\n{prose(49, 9)}"), (5, f"{prose(50, 9)}\n{half}\n{other}"), (6, f"{other}\n{prose(51, 9)}")]
+    rows += [(7, f"{short}\n{prose(52, 9)}\n{prose(53, 9)}"), (8, f"{short}\n{prose(54, 9)}\n{prose(55, 9)}")]
+    texts = {r.doc_id: r.text for r in lines.without_repeats(frame(spark, rows)).collect()}
+    assert Counter(texts.items()) == plain_lines(rows)
+    assert texts[2] == rows[1][1].rsplit("\n", 1)[0] and texts[3] == "" and texts[5] == prose(50, 9)
+    assert all(texts[i] == dict(rows)[i] for i in (1, 4, 6, 7, 8))
+
+
 def test_equal_rows_are_no_repeats_of_each_other(spark):
     text = "one\ntwo\nthree\nfour"
     found = lines.without_repeats(frame(spark, [(1, text), (1, text), (2, text)]))
