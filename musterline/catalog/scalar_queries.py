@@ -181,6 +181,22 @@ def clip_arithmetic(g):
     )
 
 
+@query(
+    "F16_decoder_positions",
+    """, clips AS (SELECT camera_id, sequence, cast(sequence % 61 AS DOUBLE) AS fps,
+           CASE WHEN sequence % 5 > 0 THEN cast(sequence AS DOUBLE) * 40.5e0 - 400 END AS position FROM frames)
+       SELECT camera_id, sequence, epoch_us(TIMESTAMP '2026-01-01 00:00:00') + cast(round_even(
+         CASE WHEN position > 0 THEN position * 1000 ELSE sequence / coalesce(nullif(fps, 0), 25) * 1000000 END, 0) AS BIGINT) AS presented_us
+       FROM clips""",
+    ("frames",),
+)
+def decoder_positions(g):
+    """Frames with a position in the clip, without one, and before its start."""
+    position = F.when(F.col("sequence") % 5 > 0, F.col("sequence").cast("double") * 40.5 - 400)
+    shown = scalars.presentation_time(position, F.col("sequence"), F.pmod("sequence", F.lit(61)))
+    return g.view("frames").select("camera_id", "sequence", F.unix_micros(shown).alias("presented_us"))
+
+
 _GATE = """, measured AS (
     SELECT *, y2 - y1 AS h, sqrt(pow(right_x - left_x, 2) + pow(right_y - left_y, 2)) AS eyes,
            sqrt(pow(nose_x - left_x, 2) + pow(nose_y - left_y, 2)) AS to_left,

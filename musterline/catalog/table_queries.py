@@ -9,6 +9,7 @@ from musterline.catalog.walks import ALL_SHOTS, TRACKS
 from musterline.cluster import scratch_path
 from musterline.functions import scalars
 from musterline.operators import enrollment, marks, references, upserts
+from musterline.operators.claims import ClaimLedger
 from musterline.operators.profile import latency_summary
 from musterline.plans.enroll import load_enrollment
 from musterline.plans.extract import extract_people
@@ -100,22 +101,27 @@ def students_not_enrolled(g):
 
 @query(
     "S01_reference_files",
-    """, listed AS (SELECT det_idx, user_id, CASE det_idx % 4 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' WHEN 2 THEN '.txt' ELSE '.webp' END AS ext FROM detections)
-       SELECT concat('u', cast(user_id AS STRING)) AS university_id, cast(count(*) AS BIGINT) AS photos FROM listed
-       WHERE det_idx % 3 > 0 AND ext <> '.txt' GROUP BY 1""",
+    """, people AS (SELECT DISTINCT concat('u', cast(user_id AS STRING)) AS person, det_idx % 4 AS kind FROM detections)
+       SELECT person AS university_id, count(*) AS photos FROM people WHERE kind < 3 GROUP BY person""",
     ("detections",),
 )
 def reference_files(g):
-    kind = F.element_at(
-        F.array(*[F.lit(e) for e in (".jpg", ".PNG", ".txt", ".webp")]), (F.col("det_idx") % 4 + 1).cast("int")
-    )
-    person = F.concat(F.lit("u"), F.col("user_id").cast("string"))
-    deep = F.concat(F.lit("file:/photos/"), person, F.lit("/x/y"), kind)
-    nested = F.concat(F.lit("file:/photos/"), person, F.lit("/"), F.col("det_idx").cast("string"), kind)
-    flat = F.concat(F.lit("file:/photos/"), person, kind)
-    path = F.when(F.col("det_idx") % 3 == 0, deep).when(F.col("det_idx") % 3 == 1, nested).otherwise(flat)
-    listed = files.reference_paths(detections(g).select(path.alias("path")), "/photos")
-    return listed.groupBy("university_id").agg(F.count(F.lit(1)).alias("photos"))
+    """A folder per person with a file for every kind of detection, laid out and then listed by the file system.
+
+    The fourth kind is no photo; the first lies once more in a folder too deep to count."""
+    root = scratch_path(g.spark, "photos")
+    person = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("person")
+    kinds = detections(g).select(person, (F.col("det_idx") % 4).alias("kind")).distinct()
+    for kind, suffix in enumerate(("jpg", "PNG", "webp", "txt")):
+        one = kinds.filter(F.col("kind") == kind).select("person", F.lit("x").alias("content"))
+        layout = one.repartition("person").write.option("extension", suffix)
+        layout.mode("append").partitionBy("person").csv(root)
+        if kind == 0:
+            deep = one.withColumn("deep", F.lit(1)).repartition("person").write.option("extension", suffix)
+            deep.mode("append").partitionBy("person", "deep").csv(root)
+    listed = files.list_reference_files(g.spark, root)
+    name = F.regexp_replace("university_id", "^person=", "").alias("university_id")
+    return listed.select(name).groupBy("university_id").agg(F.count(F.lit(1)).alias("photos"))
 
 
 @query(
@@ -367,6 +373,29 @@ def claimed_events(g):
     return claimed.select("event_id", "student_id", "university_id", "frame_captured_at")
 
 
+@query(
+    "S14_exclusive_claims",
+    """SELECT event_id, CASE WHEN n <= 60 THEN 'first' WHEN n <= 90 THEN 'second' ELSE 'third' END AS worker FROM (
+         SELECT cast(s.sighting_id AS STRING) AS event_id, row_number() OVER (ORDER BY s.captured_at, cast(s.sighting_id AS STRING)) AS n
+         FROM sightings s JOIN customer c ON c.c_custkey = cast(s.student_id AS BIGINT)) WHERE n <= 130""",
+    ("sightings",),
+)
+def exclusive_claims(g):
+    """Three workers; the first has consumed what it claimed before the third comes, the second still holds its own."""
+    events = plain_events(g)
+    students = g.table("customer").select(
+        F.col("c_custkey").cast("string").alias("student_id"),
+        F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("university_id"),
+    )
+    ledger, found = ClaimLedger(g.spark, scratch_path(g.spark, "claims")), None
+    for worker, size in (("first", 60), ("second", 30), ("third", 40)):
+        own = ledger.claim(events, students, worker, size).select("event_id", F.lit(worker).alias("worker"))
+        found = own if found is None else found.union(own)
+        if worker == "first":
+            ledger.complete([r.event_id for r in own.collect()], worker)
+    return found
+
+
 @query(
     "S14_claim_stream",
     "SELECT cast(event_id AS STRING) AS event_id, 1 AS claims FROM events",

@@ -76,11 +76,17 @@ def percentage(part: Column, whole: Column) -> Column:
     return F.round(share, 2).cast("decimal(5,2)")
 
 
-def alert_band(pct: Column) -> Column:
+# The names of the three bands of alerts, and those of the legacy table.
+BANDS = ("critical", "below60", "below75")
+LEGACY_BANDS = ("Critical", "Below60", "Below75")
+
+
+def alert_band(pct: Column, legacy: bool = False) -> Column:
+    lowest, middle, highest = LEGACY_BANDS if legacy else BANDS
     return (
-        F.when(pct < CRITICAL_BELOW, F.lit("critical"))
-        .when(pct < SERIOUS_BELOW, F.lit("below60"))
-        .when(pct < ALERT_BELOW, F.lit("below75"))
+        F.when(pct < CRITICAL_BELOW, F.lit(lowest))
+        .when(pct < SERIOUS_BELOW, F.lit(middle))
+        .when(pct < ALERT_BELOW, F.lit(highest))
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from musterline.functions.scalars import ALERT_BELOW, alert_band, boolean_sum, count_where, percentage
+from musterline.operators.keyed_table import KeyedTable
 from musterline.operators.upserts import upsert
 
 ATTENDED = ("present", "late")
@@ -92,20 +93,28 @@ def refresh_daily_summary(
     return upsert(old, fresh, ["attendance_date", "section_id"])
 
 
-def defaulter_alerts(summary: DataFrame) -> DataFrame:
+def defaulter_alerts(summary: DataFrame, legacy: bool = False) -> DataFrame:
     """Banded alerts for summaries below the bound; exactly on it, or unknown, is no alert."""
     low = summary.filter(F.col("percentage") < ALERT_BELOW)
-    return low.select(
-        "student_id", "subject_id", "semester_id", "percentage", alert_band(F.col("percentage")).alias("alert_type")
-    )
+    band = alert_band(F.col("percentage"), legacy).alias("alert_type")
+    return low.select("student_id", "subject_id", "semester_id", "percentage", band)
+
+
+ALERT_KEY = ["student_id", "subject_id", "semester_id"]
 
 
 def refresh_alerts(old: DataFrame, summary: DataFrame, mode: str = "upsert") -> DataFrame:
-    """``upsert`` keeps alerts of students who have recovered; ``replace`` is the legacy wipe."""
-    fresh = defaulter_alerts(summary)
-    if mode == "replace":
-        return fresh
-    return upsert(old, fresh, ["student_id", "subject_id", "semester_id"])
+    """``upsert`` keeps alerts of students who have recovered; ``replace`` is the legacy wipe, with the legacy
+    names of the bands. Where alerts carry ``generated_at``, new and renewed ones get the present time."""
+    fresh = defaulter_alerts(summary, legacy=mode == "replace")
+    if "generated_at" in old.columns:
+        fresh = fresh.withColumn("generated_at", F.current_timestamp())
+    return fresh if mode == "replace" else upsert(old, fresh, ALERT_KEY)
+
+
+def refresh_alert_table(alerts: KeyedTable, summary: DataFrame) -> list[int]:
+    """``refresh_alerts`` on a written table keyed by ``ALERT_KEY``: only partitions with a fresh alert are rewritten."""
+    return alerts.upsert(defaulter_alerts(summary).withColumn("generated_at", F.current_timestamp()))
 
 
 def student_attendance(
