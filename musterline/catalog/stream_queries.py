@@ -459,3 +459,26 @@ def unresolved_detections(g):
         said["best_similarity"].cast("double").alias("best_similarity"),
         text.contains('"embedding"').alias("has_embedding"),
     )
+
+
+@query(
+    "G10_late_rows_stream",
+    """WITH parts AS (SELECT event_type AS camera_id, event_id AS sequence, epoch_us(ts) AS us, event_id % 3 AS part FROM events),
+         newest AS (SELECT camera_id, part, max(us) AS us FROM parts GROUP BY 1, 2)
+       SELECT camera_id, sequence, part FROM parts p
+       WHERE us < (SELECT max(n.us) FROM newest n WHERE n.camera_id = p.camera_id AND n.part < p.part) - 86400000000""",
+)
+def late_rows_stream(g):
+    """The late rows themselves: all events arrive in three parts, each of which reaches over the whole time."""
+    stateful.use_rocksdb(g.spark)
+    events = g.table("events").select(
+        F.col("event_type").alias("camera_id"), F.col("event_id").alias("sequence"), F.col("ts").cast("timestamp").alias("captured_at")
+    )
+    arrived, sink, progress = (scratch_path(g.spark, name) for name in ("arriving", "told", "told-progress"))
+    for part in range(3):
+        events.filter(F.col("sequence") % 3 == part).write.mode("append").parquet(arrived)
+        frames = g.spark.readStream.schema(events.schema).parquet(arrived)
+        told = stateful.stream_lateness(frames, "camera_id", "captured_at", 86_400)
+        jobs.run_available(told, sink, progress)
+    late = jobs.written(g.spark, told, sink).filter("late")
+    return late.select("camera_id", "sequence", (F.col("sequence") % 3).alias("part"))

@@ -36,7 +36,7 @@ def written(spark: SparkSession, stream: DataFrame, sink: str, keys: list[str] |
     """What ``run_available`` has put into ``sink``; with ``keys`` the latest version of each."""
     if keys is None:
         return spark.read.schema(stream.schema).parquet(sink)
-    log = spark.read.schema(T.StructType(stream.schema.fields).add("batch_id", T.LongType())).parquet(sink)
+    log = spark.read.schema(T.StructType([*stream.schema.fields]).add("batch_id", T.LongType())).parquet(sink)
     rest = [c for c in stream.columns if c not in keys]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_latest"))
     return latest.select(*keys, "_latest.*")

@@ -97,6 +97,41 @@ def stream_decisions(judged: DataFrame, settings: TrackingSettings = TrackingSet
     return stream_fold(judged, ["camera_id"], ["sequence", "det_idx"], IdentifyStep(settings))
 
 
+class LatenessProcessor(StatefulProcessor):
+    """Tells which rows of a key are older than ``allowed`` before the newest of the batches before. The state is
+    that newest time; rows are passed on chunk by chunk and never held."""
+
+    def __init__(self, at: str, allowed_us: int, output: StructType) -> None:
+        self.at, self.allowed, self.output = at, allowed_us, output
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "us bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.newest.get()[0] if self.newest.exists() else None
+        newest = before
+        for chunk in rows:
+            times = chunk[self.at].astype("datetime64[us, UTC]" if chunk[self.at].dt.tz else "datetime64[us]")
+            micros = times.astype("int64").where(times.notna())
+            late = micros < before - self.allowed if before is not None else micros.isna() & False
+            if micros.notna().any():
+                newest = int(micros.max()) if newest is None else max(newest, int(micros.max()))
+            yield chunk.assign(late=late.fillna(False).astype(bool))[self.output.names]
+        if newest is not None:
+            self.newest.update((newest,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_lateness(rows: DataFrame, key: str, at: str, allowed_seconds: float) -> DataFrame:
+    """``rows`` with the flag ``late``, in one pass: late rows are kept, for a sink of their own, where a watermark
+    would drop them. A row without a time is never late."""
+    output = StructType([*rows.schema.fields]).add("late", "boolean")
+    processor = LatenessProcessor(at, round(allowed_seconds * 1_000_000), output)
+    return rows.groupBy(key).transformWithStateInPandas(processor, output, "append", "none")
+
+
 def stream_latest_per_tick(frames: DataFrame, fps: float, lateness: str = "10 seconds") -> DataFrame:
     """The newest frame per camera and tick. A tick is final once the watermark has passed it;
     frames that come later than ``lateness`` are dropped by the watermark; ``late_frames`` counts them."""

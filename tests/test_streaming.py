@@ -91,3 +91,16 @@ def test_ticks_are_final_once_the_watermark_has_passed(spark, tmp_path):
     out = jobs.replayed(spark, stateful.stream_latest_per_tick(source, 1.0, "2 seconds"), "ticks-test")
     got = {(r.sequence, r.dropped) for r in out.collect()}
     assert {(9, 9), (39, 9), (69, 9)} <= got and (99, 9) not in got
+
+
+def test_late_rows_are_told_and_kept(spark, tmp_path):
+    stateful.use_rocksdb(spark)
+    schema = "camera_id string, sequence bigint, captured_at timestamp"
+    parts = [[("a", 0, at(10)), ("a", 1, at(1)), ("b", 2, at(50))], [("a", 3, at(7.9)), ("a", 4, at(8)), ("a", 5, None), ("b", 6, at(47))], [("a", 7, at(9)), ("c", 8, at(0))]]
+    path = str(tmp_path / "in")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.replayed(spark, stateful.stream_lateness(source, "camera_id", "captured_at", 2), "late-test").collect()
+    assert sorted((r.sequence, r.late) for r in out) == [(n, n in (3, 6)) for n in range(9)]
+    assert {r.sequence: r.captured_at for r in out}[5] is None and {r.sequence: r.captured_at for r in out}[3].microsecond == 900_000
