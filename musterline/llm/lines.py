@@ -1,12 +1,11 @@
 """Line dedup by winnowing over line hashes.
 
-Lines that are not blank are hashed. A window starts at each of them and ends with the line that makes it ``RUN``
-lines or more than ``WORDS`` words, whichever comes first: a passage of that many words counts as a run even if it is
-one line. Each window keeps its smallest hash as its fingerprint, so every repeated run that holds a window has a
+Lines that are not blank are hashed. Windows start at each of them: one of ``RUN`` lines, and a shorter one where fewer
+lines have more than ``WORDS`` words, for a passage of that many words counts as a run even if it is one line. Each window keeps its smallest hash as its fingerprint, so every repeated run that holds a window has a
 common fingerprint. Fingerprints that stand at one place only are dropped; the windows of the others are compared
 with the earliest equal window of the corpus. Overlapping matches join, which extends a match both ways as far as
-windows go, and the later occurrence of a run is deleted with the blank lines inside it. A text of fewer lines and
-words is one window of its own length and is compared with texts of as many lines.
+windows go, and the later occurrence of a run is deleted with the blank lines inside it. A text of fewer lines is
+one window of its own length and is compared with texts of as many.
 
 Places are ordered by doc_id (null last), then by a hash of the row, then by line; the earliest
 occurrence stays. Defined results: a null text stays null, a text without lines that are not blank stays as
@@ -47,22 +46,27 @@ def windows(documents: DataFrame, run: int = RUN) -> DataFrame:
     rows = documents.select(*row_key("doc_id", "text"), "doc_id", _kept_lines(F.col("text")).alias("kept"))
     many = F.size("kept")
 
-    def window(start, i):
+    def window(i, size):
         here = [F.get(F.col("kept"), i + j) for j in range(run)]
-        size, words = F.when(i == 0, F.least(many, F.lit(run))).otherwise(F.lit(run)), F.lit(0)
-        bound = []
-        for j, x in enumerate(here):
-            words = words + x["words"]
-            bound.append(F.when(words > WORDS, F.lit(j + 1)))  # null words, beyond the end, are no bound
-        size = F.least(size, *bound)
         inside = [size > j for j in range(run)]
         last = F.get(F.col("kept"), i + size - 1)["at"]
         hashes = [F.when(t, x["h"]).otherwise(F.lit(0)).alias(f"h{j}") for j, (t, x) in enumerate(zip(inside, here))]
-        least = F.least(*[F.when(t, x["h"]) for t, x in zip(inside, here)]) if run > 1 else start["h"]
-        whole = F.struct(start["at"].alias("first"), last.alias("last"), least.alias("fingerprint"), size.alias("size"), *hashes)
-        return F.when(i + size <= many, whole)
-
-    starts = F.array_compact(F.transform("kept", window))
+        least = F.least(*[F.when(t, x["h"]) for t, x in zip(inside, here)]) if run > 1 else here[0]["h"]
+        whole = F.struct(here[0]["at"].alias("first"), last.alias("last"), least.alias("fingerprint"), size.alias("size"), *hashes)
+        return F.when(i + size <= many, whole)  # null beyond the end, and for a null size
+
+    def of_lines(_, i):
+        return window(i, F.when(i == 0, F.least(many, F.lit(run))).otherwise(F.lit(run)))
+
+    def of_words(_, i):
+        words, sizes = F.lit(0), []
+        for j in range(run - 1):
+            words = words + F.get(F.col("kept"), i + j)["words"]
+            sizes.append(F.when(words > WORDS, F.lit(j + 1)))  # null words, beyond the end, are no bound
+        return window(i, F.coalesce(*sizes))
+
+    windows_of = [F.transform("kept", of_lines)] + ([F.transform("kept", of_words)] if run > 1 else [])
+    starts = F.array_compact(F.concat(*windows_of))
     found = rows.select(*KEY, "doc_id", F.explode(starts).alias("_w"))
     return found.select(*KEY, "doc_id", "_w.*")
 

@@ -125,7 +125,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     near AS (SELECT *, lead(i) OVER w AS i2, lead(i, 2) OVER w AS i3, lead(line) OVER w AS line2, lead(line, 2) OVER w AS line3,
                    words + lead(words) OVER w AS words2
             FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
-    win AS (SELECT *, CASE WHEN words > 50 THEN 1 WHEN words2 > 50 THEN 2 WHEN j = 1 THEN least(n, 3) ELSE 3 END AS size FROM near),
+    win AS (SELECT *, CASE WHEN j = 1 THEN least(n, 3) ELSE 3 END AS size FROM near
+            UNION SELECT *, CASE WHEN words > 50 THEN 1 ELSE 2 END AS size FROM near WHERE words > 50 OR words2 > 50),
     whole AS (SELECT doc_id, i AS first, CASE size WHEN 1 THEN i WHEN 2 THEN i2 ELSE i3 END AS last, size, line AS a,
                      CASE WHEN size > 1 THEN line2 END AS b, CASE WHEN size > 2 THEN line3 END AS c
               FROM win WHERE j + size - 1 <= n),

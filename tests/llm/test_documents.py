@@ -412,15 +412,12 @@ def plain_lines(rows, size=3):
         kept = [(n, x) for n, x in enumerate(parts) if x.strip(" \t\r")]
         gone = set()
         for p in range(len(kept)):
-            run = min(size, len(kept)) if p == 0 else size
-            for k in range(run, 0, -1):
-                if p + k <= len(kept) and sum(len(x.split()) for _, x in kept[p : p + k]) > 50:
-                    run = k
-            if p + run > len(kept):
-                continue
-            key = (run, *[x for _, x in kept[p : p + run]])
-            if places.setdefault(key, (i, p)) != (i, p):
-                gone.update(range(kept[p][0], kept[p + run - 1][0] + 1))
+            runs = [min(size, len(kept)) if p == 0 else size]
+            runs += [k for k in range(1, size) if sum(len(x.split()) for _, x in kept[p : p + k]) > 50][:1]
+            for run in {r for r in runs if p + r <= len(kept)}:
+                key = (run, *[x for _, x in kept[p : p + run]])
+                if places.setdefault(key, (i, p)) != (i, p):
+                    gone.update(range(kept[p][0], kept[p + run - 1][0] + 1))
         out.append((i, None if text is None else "\n".join(x for n, x in enumerate(parts) if n not in gone)))
     return Counter(out)
 
